@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.session import ensure_checkpoint_dir
+
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -48,10 +50,16 @@ def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "_grank",
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Range bounds come from sampling, which depends on the input row order; the
+    # tagged rows are therefore written once (reliable checkpoint in the shared
+    # checkpoint folder) so counts and positions see the same partitioning,
+    # even if executors are lost and tasks re-run.
+    ensure_checkpoint_dir(spark)
     tagged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", _POS_BITS)))
+              .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+              .checkpoint(eager=True))
     # One row per partition: the broadcast side is bounded by the partition count.
     per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))
     offsets = per_part.withColumn(

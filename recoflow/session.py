@@ -36,17 +36,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only if unset.
+    """Return the checkpoint folder named by the session (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
+    On a cluster that setting names a shared folder and is used as is. Only a
+    local-mode session without the setting (tests, bench) gets a scratch folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if current:
-            sc.setCheckpointDir(current)
-    if not current:
-        current = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(current)
-    return current
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+        return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder; it is needed to cut lineage")
+    path = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(path)
+    return path
