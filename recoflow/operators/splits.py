@@ -136,10 +136,13 @@ def per_user_holdout(df: DataFrame, test_pct: float = 20.0, seed: int = 42,
             .drop("_rn", "_cnt", "_hk"))
 
 
-def leave_last_two(df: DataFrame, cols: Cols = DEFAULT, bucket_seconds: int = 86400) -> DataFrame:
-    """Per user in time order: last → test (2), last-but-one → valid (1), rest → train (0)."""
+def leave_last_two(df: DataFrame, cols: Cols = DEFAULT, bucket_seconds: int = 86400,
+                   order: list[str] | None = None) -> DataFrame:
+    """Per user in time order: last → test (2), last-but-one → valid (1), rest → train (0).
+
+    ``order`` is the full sort key (default: timestamp, item); it must start with the timestamp."""
     bucket = F.floor(F.col(cols.timestamp) / bucket_seconds)
-    ranked = rank_within(df, [cols.user], [cols.timestamp, cols.item], bucket)
+    ranked = rank_within(df, [cols.user], order or [cols.timestamp, cols.item], bucket)
     back = F.col("_cnt") - F.col("_rn")
     return (ranked.withColumn(SPLIT, F.when(back == 0, 2).when(back == 1, 1).otherwise(0).cast("int"))
             .drop("_rn", "_cnt"))
