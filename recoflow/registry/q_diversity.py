@@ -150,3 +150,62 @@ def q_catalog_coverage(spark, sf):
 def q_distributional_coverage(spark, sf):
     return _ev(spark, sf).distributional_coverage().select(
         rnd("distributional_coverage").alias("distributional_coverage"))
+
+
+# ----------------------------------------------------------------- metric suite
+_SUITE_SQL = tv(f"""
+SELECT 'sf' AS data, 'pred' AS algo, {K} AS k,
+  round(h.precision_at_k, 6) AS precision_at_k, round(h.recall_at_k, 6) AS recall_at_k,
+  round(h.ndcg_at_k, 6) AS ndcg_at_k, round(h.map_at_k, 6) AS map_at_k,
+  round((SELECT count(DISTINCT item_id) FROM reco) / (SELECT count(DISTINCT item_id) FROM train), 6) AS catalog_coverage,
+  round((SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*) FROM reco) AS p FROM reco GROUP BY item_id)), 6)
+    AS distributional_coverage,
+  round((SELECT sum(c * item_novelty) / (SELECT count(*) FROM reco) FROM (SELECT item_id, count(*) AS c FROM reco
+         GROUP BY item_id) r JOIN nov USING (item_id)), 6) AS novelty,
+  round((SELECT avg(1 - avg_il_sim) FROM ils), 6) AS diversity,
+  round((SELECT avg(us) FROM (SELECT user_id, avg(user_item_serendipity) AS us FROM uis GROUP BY user_id)), 6) AS serendipity
+FROM (SELECT avg(n_hits / {K}) AS precision_at_k, avg(n_hits / n_actual) AS recall_at_k,
+             avg(dcg / list_sum(list_transform(range(1, least(n_actual, {K}) + 1), lambda i: 1.0 / ln(1.0 + i)))) AS ndcg_at_k,
+             avg(ap_sum / n_actual) AS map_at_k FROM hits) h""",
+    RECO, ICOUNT, CSIM, ILS, UIS, _NOV,
+    ("rk", f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, item_id) AS rank FROM "
+           "(SELECT r.user_id, r.item_id, p.prediction AS p FROM reco r JOIN predictions p USING (user_id, item_id))"),
+    ("hits", f"""SELECT a.user_id, coalesce(h.n_hits, 0) AS n_hits, a.n_actual, coalesce(h.dcg, 0.0) AS dcg,
+       coalesce(h.ap_sum, 0.0) AS ap_sum
+FROM (SELECT user_id, count(*) AS n_actual FROM test GROUP BY user_id) a
+JOIN (SELECT DISTINCT user_id FROM rk WHERE rank <= {K}) u ON a.user_id = u.user_id
+LEFT JOIN (SELECT user_id, count(*) AS n_hits, sum(1.0 / ln(1.0 + rank)) AS dcg, sum(hit_no / rank) AS ap_sum
+           FROM (SELECT r.user_id, r.rank, row_number() OVER (PARTITION BY r.user_id ORDER BY r.rank) AS hit_no
+                 FROM rk r JOIN test t ON r.user_id = t.user_id AND r.item_id = t.item_id WHERE r.rank <= {K})
+           GROUP BY user_id) h ON a.user_id = h.user_id"""))
+
+
+@register("metric_suite", _SUITE_SQL)
+def q_metric_suite(spark, sf):
+    from recoflow.plans.suite import metric_suite
+    train, test = train_test(spark, sf)
+    t = T(spark, sf)
+    unseen = fx.predictions(t).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    reco = topk_items(unseen, K)
+    row = metric_suite(train, test, reco, K, "sf", "pred")
+    return row.select("data", "algo", "k", *[rnd(c).alias(c) for c in row.columns[3:]])
+
+
+@register("experiment_results", None)
+def q_experiment_results(spark, sf):
+    """All recommenders of the experiment scored by the suite, written as a results table and read back."""
+    from recoflow.operators import sar
+    from recoflow.operators.candidates import random_recommend
+    from recoflow.operators.factors import als_fit, als_recommend
+    from recoflow.plans.suite import experiment
+    from recoflow.sources import writers as wr
+    train, test = train_test(spark, sf)
+    sim = sar.similarity(sar.cooccurrence(train, threshold=2))
+    recos = {
+        "sar": (sar.recommend(train, sim, K), "prediction"),
+        "als": (als_recommend(als_fit(train), train, K), "prediction"),
+        "random": (random_recommend(train, K), "score"),
+    }
+    res = experiment(train, test, recos, K, sf.rstrip("/").rsplit("/", 1)[-1])
+    path = wr.write_table(res, wr.scratch_path(spark, "results"), "csv")
+    return spark.read.csv(path, header=True, inferSchema=False)
