@@ -179,3 +179,22 @@ JOIN cand c ON c.b = s.b AND c.q = s.q AND c.c = s.t % s.nv""",
 def q_batch_negatives(spark, sf):
     train, _ = train_test(spark, sf)
     return cd.batch_negatives(train.select("user_id", "item_id"), 4, 64, ["user_id", "item_id"])
+
+
+_POPKEY = f"-ln(({sql_hash_int32(42, 'item_id')} + 0.5) / 4294967296.0) / c"
+
+
+@register("popularity_item_sample", tv(f"""
+SELECT user_id, item_id FROM train WHERE item_id IN (
+  SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY {_POPKEY}, item_id) AS r,
+                              count(*) OVER () AS n FROM (SELECT item_id, count(*) AS c FROM train GROUP BY item_id))
+  WHERE r <= CAST(floor(n * 0.3) AS BIGINT))"""))
+def q_popularity_item_sample(spark, sf):
+    train, _ = train_test(spark, sf)
+    return cd.popularity_item_sample(train.select("user_id", "item_id"), 0.3, seed=42)
+
+
+@register("popularity_negatives", None)
+def q_popularity_negatives(spark, sf):
+    train, _ = train_test(spark, sf)
+    return cd.popularity_negatives(train.select("user_id", "item_id"), 4, seed=42)
