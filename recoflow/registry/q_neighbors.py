@@ -144,3 +144,43 @@ JOIN part p ON r.item_id = p.p_partkey""",
 def q_sar_flagship(spark, sf):
     from recoflow.plans.flagship import sar_top10_with_names
     return sar_top10_with_names(spark, sf, threshold=2)
+
+
+def _sweep_sql():
+    ctes = [cooc_sql(2), DIAG]
+    parts = []
+    for kind in ("jaccard", "lift"):
+        nm, body = sim_sql(kind)
+        ctes.append((f"sim_{kind}", body))
+        ctes.append((f"scores_{kind}", f"SELECT a.user_id, s.dst AS item_id, sum(a.rating * s.sim) AS score FROM train a "
+                                       f"JOIN (SELECT i1 AS src, i2 AS dst, sim FROM sim_{kind} UNION ALL SELECT i2, i1, sim "
+                                       f"FROM sim_{kind} WHERE i1 <> i2) s ON a.item_id = s.src GROUP BY 1, 2"))
+        ctes.append((f"reco_{kind}", f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY "
+                                     f"round(score, 6) DESC, item_id) AS rank FROM scores_{kind} s WHERE NOT EXISTS "
+                                     f"(SELECT 1 FROM train t WHERE t.user_id = s.user_id AND t.item_id = s.item_id)"))
+        for k in (5, 10):
+            ctes.append((f"hits_{kind}_{k}", f"""SELECT a.user_id, coalesce(h.n_hits, 0) AS n_hits, a.n_actual,
+  coalesce(h.dcg, 0.0) AS dcg, coalesce(h.ap_sum, 0.0) AS ap_sum
+  FROM (SELECT user_id, count(*) AS n_actual FROM test GROUP BY user_id) a
+  JOIN (SELECT DISTINCT user_id FROM reco_{kind} WHERE rank <= {k}) u ON a.user_id = u.user_id
+  LEFT JOIN (SELECT user_id, count(*) AS n_hits, sum(1.0 / ln(1.0 + rank)) AS dcg, sum(hit_no / rank) AS ap_sum FROM
+    (SELECT r.user_id, r.rank, row_number() OVER (PARTITION BY r.user_id ORDER BY r.rank) AS hit_no FROM reco_{kind} r
+     JOIN test t ON r.user_id = t.user_id AND r.item_id = t.item_id WHERE r.rank <= {k}) GROUP BY user_id) h
+  ON a.user_id = h.user_id"""))
+            parts.append(f"SELECT '{kind}' AS similarity, {k} AS k, 2 AS threshold, avg(n_hits / {k}) AS precision_at_k, "
+                         f"avg(n_hits / n_actual) AS recall_at_k, avg(dcg / list_sum(list_transform(range(1, "
+                         f"least(n_actual, {k}) + 1), lambda i: 1.0 / ln(1.0 + i)))) AS ndcg_at_k, "
+                         f"avg(ap_sum / n_actual) AS map_at_k FROM hits_{kind}_{k}")
+    body = ("SELECT similarity, k, threshold, round(precision_at_k, 6) AS precision_at_k, round(recall_at_k, 6) AS "
+            "recall_at_k, round(ndcg_at_k, 6) AS ndcg_at_k, round(map_at_k, 6) AS map_at_k, row_number() OVER "
+            "(ORDER BY round(precision_at_k, 9) DESC, similarity, k) AS rank FROM (" + " UNION ALL ".join(parts) + ")")
+    return tv(body, *ctes)
+
+
+@register("sweep_leaderboard", _sweep_sql())
+def q_sweep(spark, sf):
+    from recoflow.plans.sweep import sar_sweep
+    train, test = train_test(spark, sf)
+    out = sar_sweep(train, test, ["jaccard", "lift"], [5, 10], 2)
+    return out.select("similarity", "k", "threshold", *[rnd(c).alias(c) for c in
+                      ["precision_at_k", "recall_at_k", "ndcg_at_k", "map_at_k"]], "rank")
