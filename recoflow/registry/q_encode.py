@@ -158,16 +158,17 @@ def q_binary_encode(spark, sf):
 
 
 @register("target_encode_online", with_views("""
-SELECT row_id, round(CASE WHEN c > 0 THEN s / c ELSE 0.0 END, 6) AS cat_user_t_mean,
-       round(CASE WHEN c > 0 THEN c / idx ELSE 0.0 END, 6) AS cat_user_t_count
+SELECT row_id, round_even(CASE WHEN c > 0 THEN s / c ELSE 0.0 END, 6) AS cat_user_t_mean,
+       round_even(CASE WHEN c > 0 THEN c / idx ELSE 0.0 END, 6) AS cat_user_t_count
 FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx,
              coalesce(sum(label) OVER w, 0) AS s, count(*) OVER w AS c
       FROM ctr WINDOW w AS (PARTITION BY cat_user ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def q_target_encode_online(spark, sf):
     c = fx.ctr(T(spark, sf))
     out = en.target_encode_online(c, "cat_user", "label", "row_id", bucket_rows=512)
-    return out.select("row_id", rnd("cat_user_t_mean").alias("cat_user_t_mean"),
-                      rnd("cat_user_t_count").alias("cat_user_t_count"))
+    # ratios of small integers hit exact decimal ties: round half to even on both sides
+    return out.select("row_id", F.bround("cat_user_t_mean", 6).alias("cat_user_t_mean"),
+                      F.bround("cat_user_t_count", 6).alias("cat_user_t_count"))
 
 
 _U = sql_hash_uniform(7, "row_id")
