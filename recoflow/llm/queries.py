@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from recoflow.llm import substring_dedup
+from recoflow.llm import quality_fm, quality_rules, substring_dedup
 
 QUERIES = {
+    "op5_quality_fm": quality_fm.op5,
+    "op9_quality_rules": quality_rules.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLES = {
