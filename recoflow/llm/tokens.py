@@ -4,8 +4,9 @@ A vocabulary whose pre-tokeniser never joins text across white space gives a
 text the ids of its words in turn, so each distinct word is encoded once. For
 ``word_bpe_49k`` a word of printable ASCII and Latin-1 letters is moreover cut
 into the pieces of its pre-tokeniser (which lower-cases first), and each
-distinct piece is encoded once. Other words, and words that may hold a special
-token, go to the library whole. Tests compare with plain ``encode``.
+distinct piece is encoded once by the vocabulary's model. Other words, and words that
+may hold a special token, go through the library's whole ``encode``. Tests compare
+with plain ``encode``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,17 @@ import numpy as np
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
-CACHED = 500_000  # entries of either cache; a full cache is emptied
+CACHED = 1_200_000  # words kept (and half as many pieces); a full cache is emptied
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    spare, out = 256, []
+    for b in range(256):
+        shown = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
+        out.append(chr(b if shown else spare))
+        spare += not shown
+    return out
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +40,18 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """word -> ids; a word that is not there is encoded and kept."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Encoder:
     """``encode(list of texts as bytes)`` -> list of little-endian 16-bit ids as bytes."""
 
@@ -38,38 +61,36 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.words: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        cut, whole = [], []
-        for w in missing:
-            s = w.decode()
-            if _SIMPLE(s) and "<|" not in s:
-                cut.append((w, _PIECE.findall(s.lower())))
-            else:
-                whole.append((w, s))
-        new = list({p for _, ps in cut for p in ps} - self.pieces.keys())
-        self.pieces.update(zip(new, self._plain(new)))
-        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in cut)
-        self.words.update(zip([w for w, _ in whole], self._plain([s for _, s in whole])))
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token by the vocabulary's model."""
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u2").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not _SIMPLE(text) or "<|" in text:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        parts = []
+        for p in _PIECE.findall(text.lower()):
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self.pieces[p] = self._piece(p)
+            parts.append(ids)
+        return b"".join(parts)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        distinct = set().union(*split)
-        missing = distinct.difference(self.words)
-        if missing and len(self.words) + len(missing) > CACHED:
+        if len(self.words) > CACHED:
             self.words.clear()
-            missing = distinct
-        if missing:
-            self._learn(list(missing))
+        if len(self.pieces) > CACHED // 2:
+            self.pieces.clear()
         get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
