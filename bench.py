@@ -14,11 +14,31 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from recoflow.registry import load_all  # noqa: E402
+from recoflow.operators import sar  # noqa: E402
+from recoflow.registry.common import train_test  # noqa: E402
 from recoflow.session import local_session  # noqa: E402
 
+
+def _sim(train, threshold):
+    return sar.similarity(sar.cooccurrence(train, threshold=threshold))
+
+
+def _recommend_th2(spark, sf):
+    train, _ = train_test(spark, sf)
+    return sar.recommend(train, _sim(train, 2), 10)
+
+
+def _normalized_th3(spark, sf):
+    train, _ = train_test(spark, sf)
+    return sar.score_normalized(train, _sim(train, 3))
+
+
+# scoring at the settings of the first round's bench; the registered queries run the default threshold 1
+EXTRA = {"sar_recommend_th2": _recommend_th2, "sar_score_normalized_th3": _normalized_th3}
+
 HEADLINE = [
     "chrono_split", "stratified_split", "timestamp_split",
-    "sar_cooccurrence", "sar_recommend", "sar_score_normalized",
+    "sar_cooccurrence", "sar_recommend_th2", "sar_score_normalized_th3", "sar_predict",
     "ndcg_at_k", "map_at_k", "group_ndcg_hit", "auc",
     "diversity", "serendipity", "novelty",
     "als_recommend", "negative_sample", "expand_history", "tfidf_similar",
@@ -36,10 +56,11 @@ def main() -> None:
     # warm-up: JIT, file listing
     reg["popular_topk"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in names:
-        if name not in reg:
+        build = EXTRA.get(name) or (reg[name].build if name in reg else None)
+        if build is None:
             continue
         t0 = time.time()
-        reg[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - t0, 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(timings.values()), 3), "unit": "sec",

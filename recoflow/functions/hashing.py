@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 2^32: the first 8 hex digits of the md5 are read as an unsigned 32-bit number.
-_TWO_32 = 4294967296.0
+# The first 15 hex digits of the md5 are read as an unsigned 60-bit number.
+_DIGITS = 15
+TWO_60 = float(1 << 60)
 
 
 def _as_col(c) -> Column:
@@ -24,17 +25,18 @@ def hash_key(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash_int32(seed: int, *cols) -> Column:
-    return F.conv(F.substring(hash_key(seed, *cols), 1, 8), 16, 10).cast("bigint")
+def hash_int(seed: int, *cols) -> Column:
+    """An integer in [0, 2^60) from the md5 key."""
+    return F.conv(F.substring(hash_key(seed, *cols), 1, _DIGITS), 16, 10).cast("bigint")
 
 
 def hash_uniform(seed: int, *cols) -> Column:
     """A number in [0, 1) derived from the md5 key."""
-    return hash_int32(seed, *cols) / F.lit(_TWO_32)
+    return hash_int(seed, *cols) / F.lit(TWO_60)
 
 
 def hash_bucket(seed: int, n: int, *cols) -> Column:
-    return F.pmod(hash_int32(seed, *cols), F.lit(n))
+    return F.pmod(hash_int(seed, *cols), F.lit(n))
 
 
 # SQL text of the same expressions, for oracles.
@@ -43,9 +45,9 @@ def sql_hash_key(seed: int, *cols: str) -> str:
     return f"md5(concat_ws('|', {parts}))"
 
 
-def sql_hash_int32(seed: int, *cols: str) -> str:
-    return f"CAST('0x' || substr({sql_hash_key(seed, *cols)}, 1, 8) AS BIGINT)"
+def sql_hash_int(seed: int, *cols: str) -> str:
+    return f"CAST('0x' || substr({sql_hash_key(seed, *cols)}, 1, {_DIGITS}) AS BIGINT)"
 
 
 def sql_hash_uniform(seed: int, *cols: str) -> str:
-    return f"({sql_hash_int32(seed, *cols)} / {_TWO_32})"
+    return f"({sql_hash_int(seed, *cols)} / {TWO_60!r})"

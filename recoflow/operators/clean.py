@@ -19,9 +19,9 @@ def min_rating_filter(df: DataFrame, min_rating: int = 1, filter_by: str = "user
     user is never gathered in one window task.
     """
     if not (isinstance(min_rating, int) and min_rating >= 1):
-        raise ValueError("min_rating should be integer and larger than or equal to 1.")
+        raise ValueError(f"the least number of ratings is a whole number from 1 on, not {min_rating!r}")
     if filter_by not in ("user", "item"):
-        raise ValueError("filter_by should be either 'user' or 'item'.")
+        raise ValueError(f"ratings are counted per 'user' or per 'item', not per {filter_by!r}")
     by = cols.user if filter_by == "user" else cols.item
     require(df, by)
     if min_rating == 1:

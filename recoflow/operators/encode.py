@@ -14,6 +14,11 @@ from recoflow.operators.ordering import global_rank, rank_within
 LESS, UNK = "<LESS>", "<UNK>"
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row aggregate, in the same plan (no job of its own)."""
+    return df.join(F.broadcast(row))
+
+
 def index_ids(df: DataFrame, col: str, idx_col: str | None = None, start: int = 0) -> DataFrame:
     """(value, index): contiguous index over the sorted distinct values (exact, distributed)."""
     idx_col = idx_col or f"{col}_idx"
@@ -59,8 +64,7 @@ def rescale(df: DataFrame, col: str, new_min: float = 0.0, new_max: float = 1.0,
         stats = df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
         base = df.join(stats, by)
     else:
-        lo, hi = df.agg(F.min(col), F.max(col)).first()
-        base = df.withColumn("_lo", F.lit(lo)).withColumn("_hi", F.lit(hi))
+        base = with_row(df, df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")))
     lo = F.lit(data_min) if data_min is not None else F.col("_lo")
     hi = F.lit(data_max) if data_max is not None else F.col("_hi")
     return base.withColumn(col, (F.col(col) - lo) / (hi - lo) * (new_max - new_min) + new_min).drop("_lo", "_hi")
@@ -68,37 +72,35 @@ def rescale(df: DataFrame, col: str, new_min: float = 0.0, new_max: float = 1.0,
 
 def decayed_popularity(df: DataFrame, half_life: float, cols: Cols = DEFAULT) -> DataFrame:
     """Σ min(1, 0.5^((max_ts − ts)/half_life)) per item."""
-    now = df.agg(F.max(cols.timestamp)).first()[0]
-    w = F.least(F.lit(1.0), F.pow(F.lit(0.5), (F.lit(now) - F.col(cols.timestamp)) / F.lit(float(half_life))))
+    df = with_row(df, df.agg(F.max(cols.timestamp).alias("_now")))
+    w = F.least(F.lit(1.0), F.pow(F.lit(0.5), (F.col("_now") - F.col(cols.timestamp)) / F.lit(float(half_life))))
     return df.groupBy(cols.item).agg(F.sum(w).alias("popularity"))
 
 
 def blend_with_mean(df: DataFrame, alpha: float, train: DataFrame | None = None, cols: Cols = DEFAULT) -> DataFrame:
     """α·rating + (1−α)·mean(train rating)."""
-    mean = (train if train is not None else df).agg(F.avg(cols.rating)).first()[0]
-    return df.withColumn(cols.rating, F.lit(alpha) * F.col(cols.rating) + F.lit((1 - alpha) * mean))
+    mean = (train if train is not None else df).agg(F.avg(cols.rating).alias("_mean"))
+    return with_row(df, mean).withColumn(cols.rating, F.lit(alpha) * F.col(cols.rating) + F.lit(1 - alpha) * F.col("_mean")).drop("_mean")
 
 
 def mean_center(df: DataFrame, train: DataFrame | None = None, cols: Cols = DEFAULT) -> DataFrame:
-    mean = (train if train is not None else df).agg(F.avg(cols.rating)).first()[0]
-    return df.withColumn(cols.rating, F.col(cols.rating) - F.lit(mean))
+    mean = (train if train is not None else df).agg(F.avg(cols.rating).alias("_mean"))
+    return with_row(df, mean).withColumn(cols.rating, F.col(cols.rating) - F.col("_mean")).drop("_mean")
 
 
 def target_transform(df: DataFrame, mode: str = "normalize", cols: Cols = DEFAULT) -> DataFrame:
     """'normalize': rating / √Σ rating²; 'binarize': 1 if rating > 3 else 0."""
     if mode == "binarize":
         return df.withColumn(cols.rating, F.when(F.col(cols.rating) > 3, 1.0).otherwise(0.0))
-    norm = df.agg(F.sqrt(F.sum(F.col(cols.rating) * F.col(cols.rating)))).first()[0]
-    return df.withColumn(cols.rating, F.col(cols.rating) / F.lit(norm))
+    norm = df.agg(F.sqrt(F.sum(F.col(cols.rating) * F.col(cols.rating))).alias("_norm"))
+    return with_row(df, norm).withColumn(cols.rating, F.col(cols.rating) / F.col("_norm")).drop("_norm")
 
 
 def rare_to_less_table(df: DataFrame, col: str, threshold: int = 10, rate: float = 0.99) -> DataFrame:
     """(value) kept: among the first int(n·rate) values by count desc (ties by value), count > threshold."""
     c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    n = c.count()
-    keep_n = int(n * rate)
-    ranked = global_rank(c.withColumn("_neg", -F.col("_c")), ["_neg", col])
-    return ranked.where((F.col("_grank") <= keep_n) & (F.col("_c") > threshold)).select(col)
+    ranked = global_rank(c.withColumn("_neg", -F.col("_c")), ["_neg", col], total_col="_all")
+    return ranked.where((F.col("_grank") <= F.floor(F.col("_all") * rate)) & (F.col("_c") > threshold)).select(col)
 
 
 def apply_rare_to_less(df: DataFrame, col: str, kept: DataFrame) -> DataFrame:
@@ -109,8 +111,8 @@ def apply_rare_to_less(df: DataFrame, col: str, kept: DataFrame) -> DataFrame:
 
 
 def mean_impute(df: DataFrame, col: str, train: DataFrame | None = None) -> DataFrame:
-    mean = (train if train is not None else df).agg(F.avg(col)).first()[0]
-    return df.withColumn(col, F.coalesce(F.col(col), F.lit(mean)))
+    mean = (train if train is not None else df).agg(F.avg(col).alias("_mean"))
+    return with_row(df, mean).withColumn(col, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean")
 
 
 def ordinal_table(df: DataFrame, col: str, order: str) -> DataFrame:

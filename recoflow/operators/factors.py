@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols
 from recoflow.functions.arrays import cosine, dot
 from recoflow.functions.hashing import hash_key
+from recoflow.operators.encode import blend_with_mean, index_ids
 from recoflow.operators.topk import topk_items
 
 
-def als_fit(train: DataFrame, rank: int = 10, max_iter: int = 15, reg: float = 0.05, seed: int = 42,
-            cols: Cols = DEFAULT, implicit: bool = False):
-    from pyspark.ml.recommendation import ALS
+@dataclass(frozen=True)
+class AlsFit:
+    """A fitted model and the dense numbers that stand for ids in it (so ids may be of any type and size)."""
+
+    model: ALSModel
+    users: DataFrame  # (user, _u)
+    items: DataFrame  # (item, _i)
 
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol=cols.user, itemCol=cols.item,
-              ratingCol=cols.rating, coldStartStrategy="drop", nonnegative=False, implicitPrefs=implicit,
-              seed=seed, checkpointInterval=5)
-    data = train.select(F.col(cols.user).cast("int").alias(cols.user), F.col(cols.item).cast("int").alias(cols.item),
-                        F.col(cols.rating).cast("float").alias(cols.rating))
-    return als.fit(data)
+
+def als_fit(train: DataFrame, rank: int = 10, max_iter: int = 15, reg: float = 0.05, seed: int = 42,
+            cols: Cols = DEFAULT, implicit: bool = False) -> AlsFit:
+    users, items = index_ids(train, cols.user, "_u"), index_ids(train, cols.item, "_i")
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="_u", itemCol="_i", ratingCol=cols.rating,
+              coldStartStrategy="drop", nonnegative=False, implicitPrefs=implicit, seed=seed, checkpointInterval=5)
+    data = (train.join(users, cols.user).join(items, cols.item)
+            .select(F.col("_u").cast("int"), F.col("_i").cast("int"), F.col(cols.rating).cast("float")))
+    return AlsFit(als.fit(data), users, items)
 
 
-def _explode_recs(recs: DataFrame, cols: Cols) -> DataFrame:
-    return (recs.select(cols.user, F.explode("recommendations").alias("_r"))
-            .select(F.col(cols.user).cast("bigint").alias(cols.user), F.col(f"_r.{cols.item}").cast("bigint").alias(cols.item),
-                    F.col("_r.rating").cast("double").alias(cols.prediction)))
+def _explode_recs(recs: DataFrame, fit: AlsFit, cols: Cols) -> DataFrame:
+    r = recs.select(F.col("_u").cast("bigint").alias("_u"), F.explode("recommendations").alias("_r"))
+    r = r.select("_u", F.col("_r._i").cast("bigint").alias("_i"), F.col("_r.rating").cast("double").alias(cols.prediction))
+    return r.join(fit.users, "_u").join(fit.items, "_i").select(cols.user, cols.item, cols.prediction)
 
 
-def als_recommend(model, train: DataFrame, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
-    """Top-k unseen items per user without a users × items table.
+def als_recommend(fit: AlsFit, train: DataFrame, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
+    """Top-k unseen items per user. MLlib scores users × items in blocks; no such table is stored.
 
     MLlib's blocked top-n (``recommendForAllUsers``) is asked for k + s items,
     s = the 99th percentile of per-user seen counts; users with more seen items
@@ -39,9 +50,9 @@ def als_recommend(model, train: DataFrame, k: int = 10, cols: Cols = DEFAULT) ->
     """
     seen = train.select(cols.user, cols.item).distinct()
     n_seen = seen.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_ns"))
-    n_items = model.itemFactors.count()
+    n_items = fit.model.itemFactors.count()
     s = int(n_seen.agg(F.percentile_approx("_ns", 0.99)).first()[0] or 0)
-    first = _explode_recs(model.recommendForAllUsers(min(k + s, n_items)), cols)
+    first = _explode_recs(fit.model.recommendForAllUsers(min(k + s, n_items)), fit, cols)
     unseen = first.join(seen, [cols.user, cols.item], "left_anti")
     top = topk_items(unseen, k, cols)
     have = top.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_h"))
@@ -49,13 +60,19 @@ def als_recommend(model, train: DataFrame, k: int = 10, cols: Cols = DEFAULT) ->
                                                         (F.coalesce("_h", F.lit(0)) < k)))
     n_more = short.agg(F.max("_ns")).first()[0]
     if n_more:
-        users = short.select(F.col(cols.user).cast("int").alias(cols.user))
-        again = _explode_recs(model.recommendForUserSubset(users, min(k + int(n_more), n_items)), cols)
+        users = short.join(fit.users, cols.user).select(F.col("_u").cast("int").alias("_u"))
+        again = _explode_recs(fit.model.recommendForUserSubset(users, min(k + int(n_more), n_items)), fit, cols)
         again = topk_items(again.join(seen, [cols.user, cols.item], "left_anti"), k, cols)
         top = top.join(short.select(cols.user), cols.user, "left_anti").unionByName(again)
     return top
 
 
+def combination_recommend(train: DataFrame, k: int = 10, weight: float = 0.4, pool: int = 20, cols: Cols = DEFAULT) -> DataFrame:
+    """ALS on ratings blended with their mean, then the pair-combination re-rank of each user's best ``pool``."""
+    fit = als_fit(blend_with_mean(train, weight, cols=cols), cols=cols)
+    return pair_combination_rerank(als_recommend(fit, train, pool, cols), pool, k, cols=cols)
+
+
 def shift_scores(scored: DataFrame, k: int = 10, seed: int = 42, cols: Cols = DEFAULT) -> DataFrame:
     """Scores + global mean score; the top-k list re-ordered at random (md5), rank 1..k."""
     mean = scored.agg(F.avg(cols.prediction)).first()[0]
@@ -135,15 +152,32 @@ def embedding_similar(vectors: DataFrame, query_id, n: int = 10, id_col: str = "
 
 
 def bilinear_scores(users: DataFrame, items: DataFrame, pairs: DataFrame, w: list[list[float]],
-                    b: list[float], cols: Cols = DEFAULT, feature_col: str = "features") -> DataFrame:
-    """score = (x W √B) · (z W √B) for requested pairs; W (d×r) and B (r) are small model parameters."""
-    import math
+                    b: list[list[float]], w_items: list[list[float]] | None = None, output: str = "score", k: int = 10,
+                    cols: Cols = DEFAULT, feature_col: str = "features") -> DataFrame:
+    """score = (x W) B (z W')ᵀ of the requested pairs; W, W' (d×r) and the symmetric positive B (r×r) are small parameters.
+
+    √B is split over both sides. output: "score"; "mean": 1 above the mean score
+    of the pairs, else 0; "topk": 1 for a user's k best pairs (ties by item), else 0.
+    """
+    import numpy as np
+
+    if output not in ("score", "mean", "topk"):
+        raise ValueError(f"no such output: {output!r}")
+    values, vectors = np.linalg.eigh(np.asarray(b, float))
+    root = vectors @ np.diag(np.sqrt(np.maximum(values, 0))) @ vectors.T
 
-    def project(c):
-        rows = [[w[i][j] * math.sqrt(b[j]) for i in range(len(w))] for j in range(len(b))]
-        return F.array(*[F.aggregate(F.zip_with(F.col(c), F.array(*[F.lit(v) for v in row]),
+    def project(matrix):
+        rows = (np.asarray(matrix, float) @ root).T.tolist()
+        return F.array(*[F.aggregate(F.zip_with(F.col(feature_col), F.array(*[F.lit(v) for v in row]),
                                                 lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, v: a + v)
                          for row in rows])
-    u = users.select(cols.user, project(feature_col).alias("_u"))
-    i = items.select(cols.item, project(feature_col).alias("_i"))
-    return pairs.join(u, cols.user).join(i, cols.item).withColumn("score", dot("_u", "_i")).drop("_u", "_i")
+    u = users.select(cols.user, project(w).alias("_u"))
+    i = items.select(cols.item, project(w if w_items is None else w_items).alias("_i"))
+    out = pairs.join(u, cols.user).join(i, cols.item).withColumn("score", dot("_u", "_i")).drop("_u", "_i")
+    if output == "mean":
+        mean = out.agg(F.avg("score").alias("_m"))  # one row
+        return out.join(F.broadcast(mean)).withColumn("score", (F.col("score") > F.col("_m")).cast("double")).drop("_m")
+    if output == "topk":
+        best = topk_items(out, k, cols, score="score").select(cols.user, cols.item, F.lit(1.0).alias("_b"))
+        return out.join(best, [cols.user, cols.item], "left").withColumn("score", F.coalesce("_b", F.lit(0.0))).drop("_b")
+    return out

@@ -23,27 +23,22 @@ def normalized_adjacency(train: DataFrame, cols: Cols = DEFAULT, eps: float = 1e
     return fwd.unionByName(back)
 
 
-def graph_propagate(edges: DataFrame, emb: DataFrame, layers: int = 3, checkpoint_every: int = 1) -> DataFrame:
+def graph_propagate(edges: DataFrame, emb: DataFrame, layers: int = 3) -> DataFrame:
     """Mean over layers 0..L of e^(l+1) = A · e^(l); embeddings in long form (kind, node, dim, val).
 
-    Each hop is a join of the edge list with the current layer and a
-    partially aggregated sum per (node, dim); lineage is cut with a reliable
-    checkpoint (shared folder) every ``checkpoint_every`` hops.
+    Edges are written once; each hop is a join of them with the layer before and a
+    partially aggregated sum per (node, dim), written as well (reliable checkpoint
+    in the shared folder, which cuts the lineage). The layers are summed once, at the end.
     """
     ensure_checkpoint_dir(emb.sparkSession)
-    cur = emb.select("kind", "node", "dim", "val")
-    total = cur
-    for hop in range(1, layers + 1):
-        nxt = (edges.join(cur.withColumnRenamed("kind", "src_kind").withColumnRenamed("node", "src"),
-                          ["src_kind", "src"])
-               .groupBy(F.col("dst_kind").alias("kind"), F.col("dst").alias("node"), "dim")
-               .agg(F.sum(F.col("w") * F.col("val")).alias("val")))
-        total = (total.unionByName(nxt).groupBy("kind", "node", "dim").agg(F.sum("val").alias("val")))
-        if hop % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            total = total.checkpoint(eager=True)
-        cur = nxt
-    return total.withColumn("val", F.col("val") / float(layers + 1))
+    edges = edges.checkpoint()
+    whole = layer = emb.select("kind", "node", "dim", "val")
+    for _ in range(layers):
+        layer = (edges.join(layer.withColumnsRenamed({"kind": "src_kind", "node": "src"}), ["src_kind", "src"])
+                 .groupBy(F.col("dst_kind").alias("kind"), F.col("dst").alias("node"), "dim")
+                 .agg(F.sum(F.col("w") * F.col("val")).alias("val"))).checkpoint()
+        whole = whole.unionByName(layer)
+    return whole.groupBy("kind", "node", "dim").agg((F.sum("val") / float(layers + 1)).alias("val"))
 
 
 def to_long(df: DataFrame, kind: str, id_col: str, feature_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols, require
-from recoflow.operators.ordering import global_rank
+from recoflow.operators.ordering import total_before
 
 # ------------------------------------------------------------------ rating metrics
 
@@ -45,19 +45,15 @@ def rating_metrics(pairs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ classification metrics
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", keys: list[str] | None = None) -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """ROC AUC with tie-aware average ranks (Mann–Whitney), fully distributed.
 
-    Rows get an exact global rank by (score, keys); ties share the mean rank
-    of their score group.
+    Rows are counted per score first; only the distinct scores are ordered.
     """
-    keys = keys or []
-    ranked = global_rank(df.select(label, score, *keys), [score, *keys])
-    by_score = ranked.groupBy(score).agg(
-        ((F.min("_grank") + F.max("_grank")) / 2.0).alias("_avg"),
-        F.sum(F.col(label)).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
-    s = by_score.agg(F.sum(F.col("_pos") * F.col("_avg")).alias("_rs"),
-                     F.sum("_pos").alias("_np"), F.sum("_cnt").alias("_n"))
+    by_score = df.groupBy(score).agg(F.sum(F.col(label)).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
+    placed = total_before(by_score, [score], "_cnt", "_below")
+    s = placed.agg(F.sum(F.col("_pos") * (F.col("_below") + (F.col("_cnt") + 1) / 2.0)).alias("_rs"),
+                   F.sum("_pos").alias("_np"), F.sum("_cnt").alias("_n"))
     n_neg = F.col("_n") - F.col("_np")
     return s.select(((F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2.0) / (F.col("_np") * n_neg)).alias("auc"))
 
@@ -165,6 +161,12 @@ def group_mrr(ranked: DataFrame, group: str, label: str = "label") -> DataFrame:
     return per.where(F.col("_np") > 0).agg(F.avg(F.col("_rr") / F.col("_np")).alias("mean_mrr"))
 
 
+def group_dcg(ranked: DataFrame, group: str, ks: list[int], label: str = "label") -> DataFrame:
+    """Per group dcg@k: gain 2^label−1 over log2(rank + 1)."""
+    gain = (F.pow(F.lit(2.0), F.col(label)) - 1) / F.log2(F.col("_rank") + 1.0)
+    return ranked.groupBy(group).agg(*[F.sum(F.when(F.col("_rank") <= k, gain).otherwise(0.0)).alias(f"dcg_at_{k}") for k in ks])
+
+
 def group_ndcg_hit(ranked: DataFrame, group: str, ks: list[int], label: str = "label") -> DataFrame:
     """ndcg@k (gain 2^label−1, log2 discount; groups with zero ideal skipped) and hit@k."""
     gain = F.pow(F.lit(2.0), F.col(label)) - 1

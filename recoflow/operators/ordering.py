@@ -15,6 +15,8 @@ per-partition offsets joined from a table with one row per partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +38,32 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
                .drop("_bc"))
     w_in = Window.partitionBy(*keys, "_b").orderBy(*order)
     ranked = b.withColumn("_rn0", F.row_number().over(w_in))
-    return (ranked.join(offsets, on=[*keys, "_b"])
+    # null keys and buckets are groups like any other, so every row finds its offset
+    side = {k: f"_o_{i}" for i, k in enumerate([*keys, "_b"])}
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in side.items()))
+    return (ranked.join(offsets.withColumnsRenamed(side), same)
             .withColumn(rank_col, (F.col("_off") + F.col("_rn0")).cast("bigint"))
-            .drop("_b", "_off", "_rn0"))
+            .drop("_b", "_off", "_rn0", *side.values()))
+
+
+def count_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
+                 flag: Column, out: str) -> DataFrame:
+    """``out``: how many flagged rows of the group stand before the row, in (bucket, order).
+
+    Two levels as in ``rank_within``: a window per (group, bucket), and offsets from
+    the buckets' flag counts.
+    """
+    keys = list(keys)
+    b = df.withColumn("_b", bucket).withColumn("_f", F.when(flag, 1).otherwise(0).cast("bigint"))
+    sizes = b.groupBy(*keys, "_b").agg(F.sum("_f").alias("_bc"))
+    prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bc").over(prev), F.lit(0))).drop("_bc")
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = b.withColumn("_in", F.coalesce(F.sum("_f").over(inside), F.lit(0)))
+    side = {k: f"_o_{i}" for i, k in enumerate([*keys, "_b"])}
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in side.items()))
+    return (counted.join(offsets.withColumnsRenamed(side), same).withColumn(out, F.col("_off") + F.col("_in"))
+            .drop("_b", "_f", "_in", "_off", *side.values()))
 
 
 def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "_grank",
@@ -72,3 +97,33 @@ def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "_grank",
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(rank_col, (F.col("_off") + pos + 1).cast("bigint"))
             .drop("_mid", "_pid", "_off"))
+
+
+_BLOCK = 4096
+
+
+def total_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``out``: sum of ``value`` over the rows before each row in ``order`` (a unique key).
+
+    Rows are ranked, summed in blocks of consecutive ranks, and the block totals
+    (one row per 4,096) are prefixed; no window spans the table.
+    """
+    ranked = global_rank(df, list(order), rank_col="_tr").withColumn("_tb", F.floor((F.col("_tr") - 1) / _BLOCK))
+    totals = ranked.groupBy("_tb").agg(F.sum(value).alias("_tv"))
+    before = F.sum("_tv").over(Window.orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("_tb", F.coalesce(before, F.lit(0)).alias("_ts"))
+    inside = F.sum(value).over(Window.partitionBy("_tb").orderBy("_tr").rowsBetween(Window.unboundedPreceding, -1))
+    return (ranked.withColumn("_ti", F.coalesce(inside, F.lit(0))).join(starts, "_tb")
+            .withColumn(out, F.col("_ts") + F.col("_ti")).drop("_tr", "_tb", "_ts", "_ti"))
+
+
+def median_row(df: DataFrame, value: str) -> DataFrame:
+    """One row, column ``median``: the least value that half of the rows do not exceed (nulls left out).
+
+    Rows are counted per value first; only distinct values are ordered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = total_before(counts, [value], "_n", "_before")
+    whole = counts.agg(F.sum("_n").alias("_all"))
+    half = placed.join(F.broadcast(whole)).where(2 * (F.col("_before") + F.col("_n")) >= F.col("_all"))
+    return half.agg(F.min(value).alias("median"))

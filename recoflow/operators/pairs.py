@@ -1,16 +1,15 @@
 """Item-pair co-occurrence counts over users (the sparse product UᵀU).
 
 A user with d items contributes d² ordered pairs, so one hot user (a third
-of all rows) would put a quadratic share of the work into one task. Users are
-therefore cut into blocks: a user with d > ``block_size`` items spreads the
-left side of the self join over ``ceil(d / block_size)`` hash blocks of its
-items, and the right side is replicated to those blocks only. Every pair is
-still produced exactly once (in the block of its first item), each join
-group holds at most ``block_size × d`` pairs, and the pair counts are
+of all rows) would put a quadratic share of the work into one task. The items
+of a user with d > ``block_size`` are cut into ``ceil(d / block_size)`` hash
+blocks on both sides of the self join, and every two blocks meet in a join
+group of their own, of at most ``block_size²`` pairs. Each pair is produced
+exactly once (in the group of its two blocks), and the pair counts are
 combined map-side (partial aggregation) before the shuffle.
 
-The table of heavy users is broadcast only behind a size check; above it the
-join is a regular shuffle join.
+How the small table of heavy users is joined is left to the planner, which
+knows its bytes.
 """
 
 from __future__ import annotations
@@ -20,16 +19,12 @@ from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols
 
-BROADCAST_ROWS = 2_000_000  # heavy-user table rows allowed in a broadcast (≈ 32 MB)
-
 
 def _blocks(ui: DataFrame, cols: Cols, block_size: int) -> DataFrame:
     deg = ui.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_d"))
     heavy = (deg.where(F.col("_d") > block_size)
              .select(cols.user, F.ceil(F.col("_d") / block_size).cast("int").alias("_nb")))
-    n_heavy = heavy.count()  # one scalar: decides broadcast vs shuffle join
-    side = F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy
-    return ui.join(side, cols.user, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    return ui.join(heavy, cols.user, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
 
 
 def user_item_pairs_within(ui: DataFrame, cols: Cols = DEFAULT, block_size: int = 4096,
@@ -37,12 +32,12 @@ def user_item_pairs_within(ui: DataFrame, cols: Cols = DEFAULT, block_size: int
     """(user, i1, i2) with i1 <= i2 (i1 < i2 if ``strict``) for each user's distinct items."""
     ui = ui.select(cols.user, cols.item).distinct()
     b = _blocks(ui, cols, block_size)
-    left = b.select(cols.user, F.col(cols.item).alias("i1"),
-                    F.pmod(F.xxhash64(cols.item), F.col("_nb")).cast("int").alias("_blk"))
-    right = b.select(cols.user, F.col(cols.item).alias("i2"),
-                     F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_blk"))
+    own = F.pmod(F.xxhash64(cols.item), F.col("_nb")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    left = b.select(cols.user, F.col(cols.item).alias("i1"), own.alias("_b1"), every.alias("_b2"))
+    right = b.select(cols.user, F.col(cols.item).alias("i2"), own.alias("_b2"), every.alias("_b1"))
     cond = F.col("i1") < F.col("i2") if strict else F.col("i1") <= F.col("i2")
-    return left.join(right, [cols.user, "_blk"]).where(cond).select(cols.user, "i1", "i2")
+    return left.join(right, [cols.user, "_b1", "_b2"]).where(cond).select(cols.user, "i1", "i2")
 
 
 def item_pair_counts(ui: DataFrame, cols: Cols = DEFAULT, threshold: int = 1,

@@ -22,8 +22,9 @@ def time_decay(df: DataFrame, half_life: float, value: str, cols: Cols = DEFAULT
                time_now: int | None = None) -> DataFrame:
     """Σ value · min(1, 0.5^((now - ts)/half_life)) per (user, item); now = max ts unless given."""
     if time_now is None:
-        time_now = df.agg(F.max(cols.timestamp)).first()[0]  # one scalar
-    base = df.withColumn("_now", F.lit(time_now))
+        base = df.join(F.broadcast(df.agg(F.max(cols.timestamp).alias("_now"))))  # one row
+    else:
+        base = df.withColumn("_now", F.lit(time_now))
     w = F.least(F.lit(1.0), F.pow(F.lit(0.5), (F.col("_now") - F.col(cols.timestamp)) / F.lit(float(half_life))))
     return (base.groupBy(cols.user, cols.item)
             .agg(F.sum(F.col(value) * w).alias(value), F.max(cols.timestamp).alias(cols.timestamp)))
@@ -42,7 +43,7 @@ def affinity(df: DataFrame, cols: Cols = DEFAULT, half_life: float | None = None
 def cooccurrence(df: DataFrame, cols: Cols = DEFAULT, threshold: int = 1, block_size: int = 4096) -> DataFrame:
     """(i1, i2, n), i1 <= i2, n >= threshold (smaller counts are 0, i.e. absent)."""
     if threshold < 1:
-        raise ValueError("threshold cannot be < 1")
+        raise ValueError(f"a pair counts from one common user on; threshold {threshold} is too small")
     return item_pair_counts(df.select(cols.user, cols.item), cols, threshold, block_size)
 
 
@@ -59,7 +60,7 @@ def similarity(cooc: DataFrame, kind: str = JACCARD) -> DataFrame:
     elif kind == LIFT:
         sim = F.col("n") / (F.col("f1") * F.col("f2"))
     else:
-        raise ValueError(f"Unknown similarity type: {kind}")
+        raise ValueError(f"no such item similarity: {kind!r}")
     return j.select("i1", "i2", sim.cast("double").alias("sim"))
 
 
@@ -69,12 +70,27 @@ def symmetric(sim: DataFrame) -> DataFrame:
         sim.where(F.col("i1") != F.col("i2")).select(F.col("i2").alias("src"), F.col("i1").alias("dst"), "sim"))
 
 
+HOT_USERS = 4096  # users of one item that meet its neighbours in one join group
+
+
+def _met(aff: DataFrame, sim: DataFrame, cols: Cols, values: list[str]) -> DataFrame:
+    """(user, src, dst, sim, *values): affinities joined with the neighbours of their items.
+
+    An item with more than ``HOT_USERS`` users has them dealt into blocks, and its
+    neighbour list is copied to those blocks, so its product is spread over tasks.
+    """
+    left = aff.select(cols.user, F.col(cols.item).alias("src"), *values)
+    blocks = (left.groupBy("src").agg(F.count(F.lit(1)).alias("_u")).where(F.col("_u") > HOT_USERS)
+              .select("src", F.ceil(F.col("_u") / HOT_USERS).cast("int").alias("_nb")))
+    one = F.coalesce("_nb", F.lit(1))
+    left = left.join(blocks, "src", "left").withColumn("_b", F.pmod(F.xxhash64(cols.user), one).cast("int")).drop("_nb")
+    right = symmetric(sim).join(blocks, "src", "left").withColumn("_b", F.explode(F.sequence(F.lit(0), one - 1))).drop("_nb")
+    return left.join(right, ["src", "_b"]).drop("_b")
+
+
 def score(aff: DataFrame, sim: DataFrame, cols: Cols = DEFAULT, value: str = "affinity") -> DataFrame:
     """(user, item, score) = Σ_i affinity(user, i) · sim(i, item) over non-zero terms."""
-    s = symmetric(sim)
-    return (aff.select(cols.user, F.col(cols.item).alias("src"), value)
-            .join(s, "src")
-            .groupBy(cols.user, F.col("dst").alias(cols.item))
+    return (_met(aff, sim, cols, [value]).groupBy(cols.user, F.col("dst").alias(cols.item))
             .agg(F.sum(F.col(value) * F.col("sim")).alias("score")))
 
 
@@ -82,28 +98,27 @@ def score_normalized(train: DataFrame, sim: DataFrame, cols: Cols = DEFAULT,
                      half_life: float | None = None) -> DataFrame:
     """Scores rescaled per user to the rating range, as with unity-affinity min/max.
 
-    A user's min over all catalogue items is 0 unless the user reaches every item.
+    A user's min over all catalogue items is 0 unless the user reaches every
+    item. Score and unity score come from one pass over the same join.
     """
-    aff = affinity(train, cols, half_life)
-    unity_src = train.withColumn("_one", F.lit(1.0))
     if half_life:
-        unity = time_decay(unity_src.select(cols.user, cols.item, "_one", cols.timestamp), half_life, "_one", cols)
-        unity = unity.select(cols.user, cols.item, F.col("_one").alias("affinity"))
+        decayed = train.withColumn("_one", F.lit(1.0))
+        aff = affinity(train, cols, half_life).join(
+            time_decay(decayed.select(cols.user, cols.item, "_one", cols.timestamp), half_life, "_one", cols)
+            .select(cols.user, cols.item, "_one"), [cols.user, cols.item])
     else:
-        unity = unity_src.select(cols.user, cols.item, F.col("_one").alias("affinity")).distinct()
-    s = score(aff, sim, cols)
-    u = score(unity, sim, cols).withColumnRenamed("score", "_u")
-    n_items = train.select(cols.item).distinct().count()
-    rmin, rmax = aff.agg(F.min("affinity"), F.max("affinity")).first()
-    per_user = (u.groupBy(cols.user).agg(F.min("_u").alias("_umin"), F.max("_u").alias("_umax"),
-                                         F.count(F.lit(1)).alias("_nr"))
-                .withColumn("_ni", F.lit(n_items)).withColumn("_rmin", F.lit(rmin)).withColumn("_rmax", F.lit(rmax))
-                .withColumn("_umin", F.when(F.col("_nr") < F.col("_ni"), F.least(F.lit(0.0), F.col("_umin")))
-                            .otherwise(F.col("_umin"))))
+        aff = affinity(train, cols).withColumn("_one", F.lit(1.0))
+    both = (_met(aff, sim, cols, ["affinity", "_one"]).groupBy(cols.user, F.col("dst").alias(cols.item))
+            .agg(F.sum(F.col("affinity") * F.col("sim")).alias("score"), F.sum(F.col("_one") * F.col("sim")).alias("_u")))
+    # one row: catalogue size and rating range
+    whole = aff.agg(F.countDistinct(cols.item).alias("_ni"), F.min("affinity").alias("_rmin"), F.max("affinity").alias("_rmax"))
+    per_user = (both.groupBy(cols.user).agg(F.min("_u").alias("_umin"), F.max("_u").alias("_umax"), F.count(F.lit(1)).alias("_nr"))
+                .join(F.broadcast(whole))
+                .withColumn("_umin", F.when(F.col("_nr") < F.col("_ni"), F.least(F.lit(0.0), F.col("_umin"))).otherwise(F.col("_umin"))))
     lo = F.col("_umin") * F.col("_rmin")
     hi = F.col("_umax") * F.col("_rmax")
     scaled = (F.col("score") - lo) / (hi - lo) * (F.col("_rmax") - F.col("_rmin")) + F.col("_rmin")
-    return s.join(per_user, cols.user).select(cols.user, cols.item, scaled.alias("score"))
+    return both.join(per_user, cols.user).select(cols.user, cols.item, scaled.alias("score"))
 
 
 def recommend(train: DataFrame, sim: DataFrame, k: int = 10, remove_seen: bool = True,
@@ -128,16 +143,18 @@ def item_based_topk(seeds: DataFrame, sim: DataFrame, k: int = 10, cols: Cols =
 
 
 def predict(train: DataFrame, sim: DataFrame, pairs: DataFrame, cols: Cols = DEFAULT) -> DataFrame:
-    """Scores for the requested (user, item) pairs; unseen items score 0.
+    """Scores of the requested (user, item) pairs; an item without a similar one of the user's scores 0.
 
-    Only the requested pairs are scored: the affinity × similarity join is
-    restricted to users in ``pairs`` and to items requested for them.
+    Starts from the pairs: each meets the user's own items and looks the
+    similarity of the two up, so nothing but requested scores is ever built. A
+    user without training data stops the job.
     """
-    aff = affinity(train, cols).join(pairs.select(cols.user).distinct(), cols.user, "left_semi")
-    s = symmetric(sim)
-    contrib = (aff.select(cols.user, F.col(cols.item).alias("src"), "affinity").join(s, "src")
-               .select(cols.user, F.col("dst").alias(cols.item), (F.col("affinity") * F.col("sim")).alias("_c"))
-               .join(pairs.select(cols.user, cols.item), [cols.user, cols.item], "left_semi")
-               .groupBy(cols.user, cols.item).agg(F.sum("_c").alias("_s")))
-    return (pairs.join(contrib, [cols.user, cols.item], "left")
-            .withColumn(cols.prediction, F.coalesce("_s", F.lit(0.0))).drop("_s"))
+    aff = affinity(train, cols).select(cols.user, F.col(cols.item).alias("src"), "affinity")
+    asked = pairs.select(cols.user, cols.item).distinct()
+    terms = (asked.join(aff, cols.user)
+             .join(symmetric(sim).withColumnRenamed("dst", cols.item), ["src", cols.item])
+             .groupBy(cols.user, cols.item).agg(F.sum(F.col("affinity") * F.col("sim")).alias("_s")))
+    known = train.select(cols.user).distinct().withColumn("_known", F.lit(True))
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no training data for user "), F.col(cols.user).cast("string"))).cast("double"))
+    return (pairs.join(known, cols.user, "left").join(terms, [cols.user, cols.item], "left")
+            .withColumn(cols.prediction, checked.otherwise(F.coalesce("_s", F.lit(0.0)))).drop("_s", "_known"))

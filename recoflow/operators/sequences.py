@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols
 from recoflow.functions.arrays import pad_left, pad_right, mask_for
+from recoflow.operators.ordering import count_before
 
 DAY = 86400.0
 
@@ -37,6 +38,32 @@ def expand_history(inst: DataFrame, order: list[str], cols: Cols = DEFAULT, cate
     return out.where(F.size("item_history") >= min_sequence)
 
 
+def history_length(inst: DataFrame, order: list[str], cols: Cols = DEFAULT, out: str = "n_history",
+                   bucket_seconds: int = 86400) -> DataFrame:
+    """Adds how many positive events of the user come before each event; no array is built."""
+    day = F.floor(F.col(cols.timestamp) / bucket_seconds)
+    return count_before(inst, [cols.user], order, day, F.col(cols.label) == 1, out)
+
+
+def bounded_history(inst: DataFrame, order: list[str], n: int, keep: str = "last", cols: Cols = DEFAULT,
+                    min_sequence: int = 1) -> DataFrame:
+    """Each event with the items of its user's last (or first) ``n`` earlier positive events, in order.
+
+    Positives are numbered per user; an event fetches the numbers it needs, so
+    nothing grows with the length of a history. (user, *order) must name an event.
+    """
+    counted = history_length(inst, order, cols, "_p").where(F.col("_p") >= min_sequence)
+    numbered = (history_length(inst, order, cols, "_k").where(F.col(cols.label) == 1)
+                .select(cols.user, "_k", F.col(cols.item).alias("_i")))
+    low = F.greatest(F.col("_p") - n, F.lit(0)) if keep == "last" else F.lit(0).cast("bigint")
+    high = F.col("_p") - 1 if keep == "last" else F.least(F.col("_p"), F.lit(n)) - 1
+    key = [cols.user, *[c for c in order if c != cols.user]]
+    asked = counted.select(*key, F.explode(F.when(F.col("_p") > 0, F.sequence(low, high))).alias("_k"))
+    got = (asked.join(numbered, [cols.user, "_k"]).groupBy(*key)
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_i"))), lambda x: x["_i"]).alias("item_history")))
+    return counted.drop("_p").join(got, key, "left" if min_sequence < 1 else "inner")
+
+
 def last_history(hist: DataFrame, split_col: str, order: list[str], cols: Cols = DEFAULT,
                  train_value: int = 0) -> DataFrame:
     """Train split: only each user's last instance; other splits: every instance."""

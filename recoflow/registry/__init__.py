@@ -33,7 +33,7 @@ def register(name: str, sql: str | None):
 
 
 MODULES = ("q_clean", "q_splits", "q_candidates", "q_metrics", "q_neighbors", "q_diversity",
-           "q_factors", "q_encode", "q_sequences", "q_text", "q_sources")
+           "q_factors", "q_encode", "q_sequences", "q_text", "q_sources", "q_news")
 
 
 def load_all() -> dict[str, Entry]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recoflow.functions.hashing import sql_hash_int32, sql_hash_key
+from recoflow.functions.hashing import sql_hash_int, sql_hash_key
 from recoflow.operators import candidates as cd
 from recoflow.registry import register
 from recoflow.registry.common import K, SQL_TRAIN_TEST, T, train_test
@@ -28,7 +28,7 @@ def walk_sql(p, quota, seen, cat, seed):
                   f" n.ni FROM {quota} a LEFT JOIN {p}ns b ON a.user_id = b.user_id,"
                   f" (SELECT max(ni) AS ni FROM {cat}) n) WHERE pool > 0 AND need > 0"),
         (f"{p}walk", f"SELECT user_id, step, (h + step) % ni AS ipos FROM (SELECT user_id, ni, "
-                     f"{sql_hash_int32(seed, 'user_id')} % ni AS h, unnest(range(0, least(ns + least(need, pool), ni)))"
+                     f"{sql_hash_int(seed, 'user_id')} % ni AS h, unnest(range(0, least(ns + least(need, pool), ni)))"
                      f" AS step FROM {p}q)"),
         (f"{p}cand", f"SELECT w.user_id, c.item_id, row_number() OVER (PARTITION BY w.user_id ORDER BY w.step) - 1 AS r,"
                      f" count(*) OVER (PARTITION BY w.user_id) AS nc FROM {p}walk w JOIN {cat} c ON w.ipos = c.ipos"
@@ -60,7 +60,7 @@ def q_remove_seen(spark, sf):
 SELECT user_id, item_id, CAST(score AS DOUBLE) AS score FROM (
   SELECT w.user_id, c.item_id, row_number() OVER (PARTITION BY w.user_id ORDER BY w.off) AS score
   FROM (SELECT user_id, (h + off) % ni AS ipos, off FROM (
-          SELECT u.user_id, n.ni, {sql_hash_int32(42, 'u.user_id')} % n.ni AS h,
+          SELECT u.user_id, n.ni, {sql_hash_int(42, 'u.user_id')} % n.ni AS h,
                  unnest(range(0, least(u.seen + {K}, n.ni))) AS off
           FROM (SELECT user_id, count(*) AS seen FROM train GROUP BY user_id) u,
                (SELECT max(ni) AS ni FROM cat) n)) w
@@ -78,7 +78,7 @@ UNION ALL
 SELECT user_id, item_id, 0 FROM (
   SELECT w.user_id, c.item_id, w.neg, row_number() OVER (PARTITION BY w.user_id ORDER BY c.item_id) AS r
   FROM (SELECT user_id, neg, (h + step) % ni AS ipos FROM (
-          SELECT pu.user_id, pu.neg, n.ni, {sql_hash_int32(42, 'pu.user_id')} % n.ni AS h,
+          SELECT pu.user_id, pu.neg, n.ni, {sql_hash_int(42, 'pu.user_id')} % n.ni AS h,
                  unnest(range(0, least(pu.n + pu.neg, n.ni))) AS step
           FROM pu, (SELECT max(ni) AS ni FROM cat) n)) w
   JOIN cat c ON w.ipos = c.ipos
@@ -93,19 +93,20 @@ def q_negative_sample(spark, sf):
 
 
 def _neg_per_row_sql(n, seen_cte, target_cte):
-    """per row of {target_cte}: n_eff negatives (shared per-user walk, chunks of n_eff)."""
+    """per row of {target_cte}: n negatives, fewer for a user whose pool is smaller (shared per-user walk, in chunks)."""
     return (
-        ("neff", f"SELECT least({n}, min(ni - coalesce(s.c, 0))) AS n FROM (SELECT DISTINCT user_id FROM {target_cte}) u "
+        ("neff", f"SELECT u.user_id, least({n}, ni - coalesce(s.c, 0)) AS n FROM (SELECT DISTINCT user_id FROM {target_cte}) u "
                  f"LEFT JOIN (SELECT user_id, count(*) AS c FROM {seen_cte} WHERE item_id IN (SELECT item_id FROM cat) "
                  "GROUP BY user_id) s ON u.user_id = s.user_id, (SELECT max(ni) AS ni FROM cat) n"),
         ("idx", f"SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS q "
                 f"FROM {target_cte}"),
-        ("quota", "SELECT user_id, count(*) * (SELECT n FROM neff) AS need FROM idx GROUP BY user_id"),
+        ("quota", "SELECT i.user_id, count(*) * any_value(e.n) AS need FROM idx i JOIN neff e ON i.user_id = e.user_id "
+                  "GROUP BY i.user_id"),
     ) + walk_sql("w_", "quota", seen_cte, "cat", 42)
 
 
-_NEG_OUT = ("SELECT i.user_id, i.item_id, n.item_id AS neg_item FROM idx i JOIN w_negs n ON i.user_id = n.user_id "
-            "AND i.q = n.j // (SELECT n FROM neff)")
+_NEG_OUT = ("SELECT i.user_id, i.item_id, n.item_id AS neg_item FROM idx i JOIN neff e ON i.user_id = e.user_id "
+            "JOIN w_negs n ON i.user_id = n.user_id AND i.q = n.j // e.n")
 
 
 @register("train_negatives", tv(_NEG_OUT, ("tr", "SELECT DISTINCT user_id, item_id FROM train"),
@@ -118,10 +119,10 @@ def q_train_negatives(spark, sf):
 @register("test_negatives", tv(_NEG_OUT, ("tr", "SELECT DISTINCT user_id, item_id FROM train"),
                                ("te", "SELECT DISTINCT user_id, item_id FROM test"),
                                ("seen", "SELECT * FROM tr UNION SELECT * FROM te"),
-                               cat_sql("cat", "tr", 42), *_neg_per_row_sql(20, "seen", "te")))
+                               cat_sql("cat", "tr", 42), *_neg_per_row_sql(100, "seen", "te")))
 def q_test_negatives(spark, sf):
     train, test = train_test(spark, sf)
-    return cd.test_negatives(train, test, 20, seed=42)
+    return cd.test_negatives(train, test, 100, seed=42)
 
 
 @register("bpr_triples", tv(
@@ -141,8 +142,8 @@ def _imp_sql(k, padded):
                    "FROM impressions WHERE label = 0")
     pos = ("posi", f"SELECT imp_id, user_id, item_id AS pos_item, row_number() OVER (PARTITION BY imp_id ORDER BY "
                    f"{sql_hash_key(42, 'imp_id', 'item_id')}, item_id) - 1 AS q FROM impressions WHERE label = 1")
-    slots = ("slots", "SELECT p.imp_id, p.user_id, p.pos_item, p.q, m.m, unnest(range(0, " + str(k) + ")) AS t "
-                      "FROM posi p JOIN (SELECT DISTINCT imp_id, m FROM negi) m ON p.imp_id = m.imp_id")
+    slots = ("slots", "SELECT p.imp_id, p.user_id, p.pos_item, p.q, coalesce(m.m, 0) AS m, unnest(range(0, " + str(k) + ")) AS t "
+                      f"FROM posi p {'LEFT ' if padded else ''}JOIN (SELECT DISTINCT imp_id, m FROM negi) m ON p.imp_id = m.imp_id")
     if padded:
         body = (f"SELECT s.imp_id, s.user_id, s.pos_item, CAST(s.t AS INTEGER) AS slot, "
                 "coalesce(n.item_id, 0) AS neg_item FROM (SELECT *, CASE WHEN m < " + str(k) +
@@ -181,7 +182,7 @@ def q_batch_negatives(spark, sf):
     return cd.batch_negatives(train.select("user_id", "item_id"), 4, 64, ["user_id", "item_id"])
 
 
-_POPKEY = f"-ln(({sql_hash_int32(42, 'item_id')} + 0.5) / 4294967296.0) / c"
+_POPKEY = f"-ln(({sql_hash_int(42, 'item_id')} + 0.5) / 1152921504606846976.0) / c"
 
 
 @register("popularity_item_sample", tv(f"""

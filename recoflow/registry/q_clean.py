@@ -65,7 +65,7 @@ def q_clean_metadata(spark, sf):
 
 _SQL_CLEAN = (r"lower(regexp_replace(replace(regexp_replace(regexp_replace(nfc_normalize("
               r"concat_ws(' ', coalesce(source, ''), coalesce(text, ''))), '<.*?>', '', 'g'), "
-              r"'[\n\t\r]', ' ', 'g'), 'Â ', ''), '" + tx.SQL_NON_WORD + r"', '', 'g'))")
+              r"'[\n\t\r]', ' ', 'g'), 'Â ', ''), '" + tx.SQL_NON_WORD + r"', '', 'g'))")
 
 
 @register("clean_text", with_views(f"SELECT doc_id, {_SQL_CLEAN} AS cleaned_text FROM docs"))

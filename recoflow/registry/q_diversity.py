@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recoflow.operators.diversity import FEATURE, DiversityEvaluation, cooccurrence_cosine, pairwise_items
+from recoflow.operators.diversity import FEATURE, ListQuality, cooccurrence_cosine, item_novelty, pairwise_items
 from recoflow.operators.topk import topk_items
 from recoflow.registry import register
 from recoflow.registry.common import K, SQL_TRAIN_TEST, T, rnd, train_test
@@ -43,7 +43,7 @@ def _ev(spark, sf, **kw):
     t = T(spark, sf)
     unseen = fx.predictions(t).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     reco = topk_items(unseen, K)
-    return DiversityEvaluation(train, reco, **kw)
+    return ListQuality(train, reco, **kw)
 
 
 def _feat(spark, sf):
@@ -77,7 +77,7 @@ def q_feature_cosine(spark, sf):
 @register("intralist_similarity", tv("SELECT user_id, round(avg_il_sim, 6) AS avg_il_sim FROM ils",
                                      RECO, ICOUNT, CSIM, ILS))
 def q_intralist(spark, sf):
-    return _ev(spark, sf).intralist_similarity().withColumn("avg_il_sim", rnd("avg_il_sim"))
+    return _ev(spark, sf).user_similarity().withColumn("avg_il_sim", rnd("avg_il_sim"))
 
 
 @register("user_diversity", tv("SELECT user_id, round(1 - avg_il_sim, 6) AS user_diversity FROM ils",
@@ -107,7 +107,7 @@ _NOV = ("nov", "SELECT item_id, -log2(count(*) / (SELECT count(*) FROM train)) A
 
 @register("item_novelty", tv("SELECT item_id, round(item_novelty, 6) AS item_novelty FROM nov", _NOV))
 def q_item_novelty(spark, sf):
-    return _ev(spark, sf).historical_item_novelty().withColumn("item_novelty", rnd("item_novelty"))
+    return item_novelty(train_test(spark, sf)[0]).withColumn("item_novelty", rnd("item_novelty"))
 
 
 @register("novelty", tv("""SELECT round(sum(c * item_novelty) / (SELECT count(*) FROM reco), 6) AS novelty
@@ -194,18 +194,16 @@ def q_metric_suite(spark, sf):
 @register("experiment_results", None)
 def q_experiment_results(spark, sf):
     """All recommenders of the experiment scored by the suite, written as a results table and read back."""
-    from recoflow.operators import sar
     from recoflow.operators.candidates import random_recommend
-    from recoflow.operators.factors import als_fit, als_recommend
+    from recoflow.operators.factors import als_fit, als_recommend, combination_recommend
     from recoflow.plans.suite import experiment
     from recoflow.sources import writers as wr
     train, test = train_test(spark, sf)
-    sim = sar.similarity(sar.cooccurrence(train, threshold=2))
     recos = {
-        "sar": (sar.recommend(train, sim, K), "prediction"),
         "als": (als_recommend(als_fit(train), train, K), "prediction"),
         "random": (random_recommend(train, K), "score"),
+        "comb": (combination_recommend(train, K), "prediction"),
     }
     res = experiment(train, test, recos, K, sf.rstrip("/").rsplit("/", 1)[-1])
     path = wr.write_table(res, wr.scratch_path(spark, "results"), "csv")
-    return spark.read.csv(path, header=True, inferSchema=False)
+    return spark.read.csv(path, header=True, schema=res.schema)

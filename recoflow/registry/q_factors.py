@@ -139,30 +139,45 @@ def q_embedding_similar(spark, sf):
 
 
 W = [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]
-B = [0.25, 4.0]
+W_ITEMS = [[0.5, 0.0], [0.25, 1.0], [0.0, 2.0]]
+B = [[0.5, 0.25], [0.25, 4.0]]
 
 
-def _proj_sql(x):
-    parts = []
-    for j in range(len(B)):
-        acc = "0.0"
-        for i in range(len(W)):
-            acc = f"({acc} + {x}[{i + 1}] * CAST('{W[i][j] * math.sqrt(B[j])!r}' AS DOUBLE))"
-        parts.append(acc)
-    return "[" + ", ".join(parts) + "]"
+def _side(x, w, j):
+    return "(" + " + ".join(f"CAST({x}[{i + 1}] AS DOUBLE) * {w[i][j]}" for i in range(len(w))) + ")"
 
 
-@register("bilinear_scores", tv(
-    f"SELECT user_id, item_id, round({DOT.format(a='pu', b='pi')}, 6) AS score FROM (SELECT t.user_id, t.item_id, "
-    f"{_proj_sql('u.features')} AS pu, {_proj_sql('i.features')} AS pi FROM test t JOIN uf u ON t.user_id = u.user_id "
-    "JOIN itf i ON t.item_id = i.item_id)", UF_SQL, IF_SQL))
-def q_bilinear(spark, sf):
+_BIL = ("bil", "SELECT t.user_id, t.item_id, " + " + ".join(
+    f"{_side('u.features', W, j)} * {B[j][m]} * {_side('i.features', W_ITEMS, m)}" for j in range(2) for m in range(2))
+    + " AS score FROM test t JOIN uf u ON t.user_id = u.user_id JOIN itf i ON t.item_id = i.item_id")
+
+
+def _bilinear(spark, sf, output):
     t = T(spark, sf)
     _, test = train_test(spark, sf)
-    out = fa.bilinear_scores(user_f(t), item_f(t), test.select("user_id", "item_id"), W, B)
+    out = fa.bilinear_scores(user_f(t), item_f(t), test.select("user_id", "item_id"), W, B, W_ITEMS, output, 5)
     return out.select("user_id", "item_id", rnd("score").alias("score"))
 
 
+@register("bilinear_scores", tv("SELECT user_id, item_id, round(score, 6) AS score FROM bil", UF_SQL, IF_SQL, _BIL))
+def q_bilinear(spark, sf):
+    return _bilinear(spark, sf, "score")
+
+
+@register("bilinear_above_mean", tv("SELECT user_id, item_id, CAST(score > (SELECT avg(score) FROM bil) AS DOUBLE) AS score FROM bil",
+                                    UF_SQL, IF_SQL, _BIL))
+def q_bilinear_mean(spark, sf):
+    return _bilinear(spark, sf, "mean")
+
+
+@register("bilinear_topk", tv("SELECT user_id, count(*) AS n, sum(score) AS ones FROM (SELECT user_id, CAST(row_number() OVER ("
+                              "PARTITION BY user_id ORDER BY score DESC, item_id) <= 5 AS DOUBLE) AS score FROM bil) GROUP BY user_id",
+                              UF_SQL, IF_SQL, _BIL))
+def q_bilinear_topk(spark, sf):
+    from pyspark.sql import functions as F
+    return _bilinear(spark, sf, "topk").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("ones"))
+
+
 _ADJ = ("adj", """SELECT e.user_id, e.item_id, (1.0 / sqrt(du.d + 1e-9)) * (1.0 / sqrt(di.d + 1e-9)) AS w
   FROM (SELECT DISTINCT user_id, item_id FROM train WHERE rating > 0) e
   JOIN (SELECT user_id, count(*) AS d FROM (SELECT DISTINCT user_id, item_id FROM train WHERE rating > 0) GROUP BY user_id) du

@@ -75,7 +75,7 @@ SELECT round((sum(label * r) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label
 FROM (SELECT label, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r
       FROM (SELECT label, {SCORE} AS s FROM impressions))"""))
 def q_auc(spark, sf):
-    return m.auc(_scored_impressions(spark, sf), keys=["imp_id", "item_id"]).select(rnd("auc").alias("auc"))
+    return m.auc(_scored_impressions(spark, sf)).select(rnd("auc").alias("auc"))
 
 
 @register("logloss", with_views(f"""

@@ -82,7 +82,7 @@ SELECT imp_id, item_id, list_concat(h, list_transform(range(0, 5 - len(h)), lamb
 FROM (SELECT imp_id, item_id, CASE WHEN len(item_history) > 5 THEN item_history[-5:] ELSE item_history END AS h FROM hist)""",
     INST, HIST))
 def q_pad_right(spark, sf):
-    return sq.pad_sequences(_hist(spark, sf), "item_history", 5, "right").select(
+    return sq.pad_sequences(sq.bounded_history(_inst(spark, sf), ORDER, 5), "item_history", 5, "right").select(
         "imp_id", "item_id", "item_history_padded", "item_history_mask")
 
 
@@ -92,13 +92,13 @@ SELECT imp_id, item_id, list_concat(list_transform(range(0, 5 - len(h)), lambda
 FROM (SELECT imp_id, item_id, CASE WHEN len(item_history) > 5 THEN item_history[-5:] ELSE item_history END AS h FROM hist)""",
     INST, HIST))
 def q_pad_left(spark, sf):
-    return sq.pad_sequences(_hist(spark, sf), "item_history", 5, "left").select(
+    return sq.pad_sequences(sq.bounded_history(_inst(spark, sf), ORDER, 5), "item_history", 5, "left").select(
         "imp_id", "item_id", "item_history_padded", "item_history_mask")
 
 
 @register("min_length_filter", with_views("SELECT imp_id, item_id FROM hist WHERE len(item_history) >= 3", INST, HIST))
 def q_min_length(spark, sf):
-    return sq.min_length_filter(_hist(spark, sf), "item_history", 3).select("imp_id", "item_id")
+    return sq.history_length(_inst(spark, sf), ORDER).where("n_history >= 3").select("imp_id", "item_id")
 
 
 @register("shifted_targets", with_views("""
@@ -114,14 +114,14 @@ SELECT user_id, list_concat(h, list_transform(range(0, 10 - len(h)), lambda x: C
 FROM (SELECT user_id, CASE WHEN len(x) > 10 THEN x[-10:] ELSE x END AS h FROM (
   SELECT user_id, arg_max(item_history, (ts, imp_id, item_id)) AS x FROM hist GROUP BY user_id))""", INST, HIST))
 def q_click_history(spark, sf):
-    return sq.click_history(_hist(spark, sf), 10, order=ORDER)
+    return sq.click_history(sq.bounded_history(_inst(spark, sf), ORDER, 10), 10, order=ORDER)
 
 
 @register("news_history", with_views("""
 SELECT imp_id, item_id, list_concat(list_transform(range(0, 10 - len(item_history[1:10])), lambda x: CAST(0 AS BIGINT)),
        item_history[1:10]) AS item_history_10 FROM hist""", INST, HIST))
 def q_news_history(spark, sf):
-    return sq.news_history(_hist(spark, sf), "item_history", 10, "first").select("imp_id", "item_id", "item_history_10")
+    return sq.news_history(sq.bounded_history(_inst(spark, sf), ORDER, 10, "first"), "item_history", 10, "first").select("imp_id", "item_id", "item_history_10")
 
 
 BEH = ("beh", "SELECT imp_id, user_id, max(ts) AS ts, string_agg(CAST(item_id AS VARCHAR) || '-' || CAST(label AS VARCHAR), "
@@ -147,10 +147,10 @@ FROM beh b LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) AS us
   ON b.user_id = u.user_id, range(1, len(string_split(imps, ' ')) + 1) g(p)""", BEH))
 def q_explode_impressions(spark, sf):
     from recoflow.operators.encode import index_ids
+    from recoflow.operators.ordering import median_row
     t = T(spark, sf)
     r = fx.ratings(t)
     # users known from the first half of time get an index (1-based); the rest map to 0
-    mid = r.agg(F.percentile("ts", 0.5)).first()[0]
-    known = index_ids(r.where(F.col("ts") < F.lit(mid)), "user_id", "user_idx", start=1)
+    known = index_ids(r.join(F.broadcast(median_row(r, "ts"))).where(F.col("ts") < F.col("median")), "user_id", "user_idx", start=1)
     b = sq.behaviors_from_impressions(fx.impressions(t))
     return sq.explode_impressions(b, user_index=known).select("imp_id", "user_idx", "position", "item", "label")

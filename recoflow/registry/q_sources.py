@@ -51,11 +51,17 @@ def q_items_by_year(spark, sf):
     "SELECT genre, count(*) AS n_items FROM (SELECT DISTINCT item_id, unnest(genres) AS genre FROM il) GROUP BY genre",
     _ITEM_LINES))
 def q_items_by_genre(spark, sf):
-    items = _items(spark, sf)
-    # the genre list is the (small, bounded) vocabulary of type words
-    names = sorted(r[0] for r in items.select(F.explode("genres")).distinct().collect())
-    flags = items.select("item_id", *[F.array_contains("genres", g).cast("int").alias(g) for g in names])
-    return rd.items_by_genre(flags, names)
+    return rd.items_by_genre(_items(spark, sf))
+
+
+@register("items_by_flags", """
+SELECT CASE WHEN f = 1 THEN 'large' ELSE 'dear' END AS genre, count(*) AS n_items FROM (SELECT p_partkey, unnest(
+  list_filter([CASE WHEN p_size > 25 THEN 1 END, CASE WHEN p_retailprice > 1000 THEN 2 END], lambda x: x IS NOT NULL)) AS f FROM part)
+GROUP BY f""")
+def q_items_by_flags(spark, sf):
+    p = T(spark, sf).part
+    flags = p.select((F.col("p_size") > 25).cast("int").alias("large"), (F.col("p_retailprice") > 1000).cast("int").alias("dear"))
+    return rd.items_by_genre(rd.genres_from_flags(flags, ["large", "dear"]))
 
 
 @register("ratings_with_items", with_views(
@@ -198,10 +204,15 @@ def q_write_sequences(spark, sf):
     return rd.read_sequences(spark, path).select("label", "user_id", "item_id", "cate", "ts", "item_history")
 
 
-@register("write_recommendations", None)
+def _write_reco_sql():
+    from recoflow.registry import q_neighbors as n
+    return n.tv(n._RECO, n.cooc_sql(1), n.DIAG, n.sim_sql("jaccard"), n.SSIM, n.SCORES)
+
+
+@register("write_recommendations", _write_reco_sql())
 def q_write_recommendations(spark, sf):
     from recoflow.operators import sar
     train, _ = train_test(spark, sf)
-    reco = sar.recommend(train, sar.similarity(sar.cooccurrence(train, threshold=2)), K)
+    reco = sar.recommend(train, sar.similarity(sar.cooccurrence(train)), K)
     path = wr.write_table(reco, wr.scratch_path(spark, "reco"), "csv")
     return spark.read.csv(path, header=True, schema="user_id long, item_id long, prediction double")

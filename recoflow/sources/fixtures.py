@@ -56,7 +56,7 @@ def ctr(t: Tables) -> DataFrame:
 
 
 def docs(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang") == "en").select("doc_id", "text", "lang", "source")
+    return t.documents.select("doc_id", "text", "lang", "source")
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -79,7 +79,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_cust
     "items": "SELECT p_partkey AS item_id, p_name AS title, p_brand AS genre, p_type AS category FROM part",
     "ctr": """SELECT event_id AS row_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label,
        CAST(user_id AS VARCHAR) AS cat_user, props AS cat_props, value AS num_value FROM events""",
-    "docs": "SELECT doc_id, text, lang, source FROM documents WHERE lang = 'en'",
+    "docs": "SELECT doc_id, text, lang, source FROM documents",
     "vectors": "SELECT vec_id AS item_id, embedding AS features FROM embeddings",
 }
 _DEPS = {"predictions": ["ratings"]}

@@ -22,7 +22,7 @@ RATING_FORMATS = {
 
 def ratings_schema(names_or_schema=None) -> T.StructType:
     """Schema from a list of names (types by role) or a StructType; cut to 4 fields with a warning."""
-    roles = [T.IntegerType(), T.IntegerType(), T.FloatType(), T.LongType()]
+    roles = [T.LongType(), T.LongType(), T.FloatType(), T.LongType()]
     default = ["user_id", "item_id", "rating", "ts"]
     if names_or_schema is None:
         names_or_schema = default
@@ -37,8 +37,9 @@ def ratings_schema(names_or_schema=None) -> T.StructType:
 
 
 def read_ratings(spark: SparkSession, path: str, fmt: str = "tsv", schema=None) -> DataFrame:
+    """A line that does not fit the schema stops the read; it never turns into nulls."""
     opts = RATING_FORMATS[fmt]
-    return spark.read.csv(path, schema=ratings_schema(schema), sep=opts["sep"], header=opts["header"])
+    return spark.read.csv(path, schema=ratings_schema(schema), sep=opts["sep"], header=opts["header"], mode="FAILFAST")
 
 
 def read_items(spark: SparkSession, path: str, sep: str = "|", encoding: str = "ISO-8859-1") -> DataFrame:
@@ -49,26 +50,28 @@ def read_items(spark: SparkSession, path: str, sep: str = "|", encoding: str = "
     cand = F.element_at(parts, -2)
     year = F.when(F.size(parts) >= 2, F.when(F.trim(cand).rlike("^[0-9]+$"), F.trim(cand).cast("int")))
     return raw.select(raw.f[0].cast("bigint").alias("item_id"), title.alias("title"), year.alias("year"),
-                      F.slice("f", 3, 1000).alias("genres"))
+                      F.slice("f", 3, F.greatest(F.size("f") - 2, F.lit(0))).alias("genres"))
 
 
 def items_by_year(items: DataFrame) -> DataFrame:
     return items.groupBy("year").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def items_by_genre(flags: DataFrame, genre_names: list[str], id_col: str = "item_id") -> DataFrame:
-    """0/1 genre flag columns → genre names in list order, exploded and counted per genre."""
+def genres_from_flags(flags: DataFrame, genre_names: list[str], out: str = "genres") -> DataFrame:
+    """0/1 genre flag columns → array of genre names, in list order."""
     names = F.array_compact(F.array(*[F.when(F.col(g) == 1, F.lit(g)) for g in genre_names]))
-    return (flags.select(id_col, F.explode(names).alias("genre"))
+    return flags.withColumn(out, names)
+
+
+def items_by_genre(items: DataFrame, genres: str = "genres") -> DataFrame:
+    """Items per genre; a genre that an item names twice counts once."""
+    return (items.select(F.explode(F.array_distinct(genres)).alias("genre"))
             .groupBy("genre").agg(F.count(F.lit(1)).alias("n_items")))
 
 
-def ratings_with_items(ratings: DataFrame, items: DataFrame, on: str = "item_id", how: str = "left",
-                       broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Ratings joined with item attributes; the item table is broadcast only when its size is checked small."""
-    n = items.count()
-    side = F.broadcast(items) if n <= broadcast_rows else items
-    return ratings.join(side, on, how)
+def ratings_with_items(ratings: DataFrame, items: DataFrame, on: str = "item_id", how: str = "left") -> DataFrame:
+    """Ratings joined with item attributes; Spark broadcasts the items if their measured bytes allow it."""
+    return ratings.join(items, on, how)
 
 
 def ctr_schema(n_int: int = 13, n_cat: int = 26) -> T.StructType:
@@ -96,7 +99,7 @@ def read_ffm(spark: SparkSession, path: str) -> DataFrame:
     """`label f:i:v ... [%imp]` → label, array<(field, feature, value)> 0-based, impression id (0 default)."""
     raw = spark.read.text(path).select(F.split("value", "%").alias("p"))
     toks = F.split(F.trim(raw.p[0]), " ")
-    feats = F.transform(F.slice(toks, 2, 1 << 20), lambda t: F.struct(
+    feats = F.transform(F.slice(toks, 2, F.size(toks)), lambda t: F.struct(
         (F.split(t, ":")[0].cast("int") - 1).alias("field"), (F.split(t, ":")[1].cast("int") - 1).alias("feature"),
         F.split(t, ":")[2].cast("float").alias("value")))
     imp = F.when(F.size("p") > 1, F.trim(raw.p[1]).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
@@ -116,7 +119,7 @@ def read_embeddings(spark: SparkSession, path: str, sep: str = " ") -> DataFrame
     """`key v1 ... vn` → key, array<float>."""
     raw = spark.read.text(path).select(F.split(F.trim("value"), sep).alias("t"))
     return raw.select(raw.t[0].alias("key"),
-                      F.transform(F.slice("t", 2, 1 << 20), lambda x: x.cast("float")).alias("vector"))
+                      F.transform(F.slice("t", 2, F.size("t")), lambda x: x.cast("float")).alias("vector"))
 
 
 SEQUENCE_SCHEMA = ("label int, user_id string, item_id string, cate string, ts long, item_history string, "
@@ -148,3 +151,68 @@ def news_entities(news: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Entities JSON → one row per (news, surface form, entity id)."""
     ents = news.select(id_col, F.explode(F.from_json(json_col, ENTITY_SCHEMA)).alias("e"))
     return ents.select(id_col, F.explode("e.SurfaceForms").alias("surface"), F.col("e.WikidataId").alias("entity_id"))
+
+
+NEWS_COLUMNS = ("news_id", "vert", "subvert", "title", "abstract", "url", "title_entities", "abstract_entities")
+BEHAVIOR_COLUMNS = ("imp_id", "user_id", "time", "history", "imps")
+
+
+def _tab_lines(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """Tab-separated lines as string columns, with ``_line``: the order of lines by file and place."""
+    raw = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("m"))
+    f = raw.select(place.alias("_line"), F.split("value", "\t", -1).alias("f"))
+    return f.select("_line", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def read_news(spark: SparkSession, path: str) -> DataFrame:
+    """News TSV; of lines with the same id the first stays. Quotes are ordinary characters."""
+    lines = _tab_lines(spark, path, NEWS_COLUMNS)
+    first = lines.groupBy("news_id").agg(F.min_by(F.struct(*NEWS_COLUMNS[1:]), "_line").alias("_r"))
+    return first.select("news_id", "_r.*")
+
+
+def read_behaviors(spark: SparkSession, path: str) -> DataFrame:
+    """Impression log: imp_id, user_id, time, history, clicked (pos) and other (neg) items, ``_line`` order."""
+    b = _tab_lines(spark, path, BEHAVIOR_COLUMNS)
+    items = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    marked = lambda mark: F.transform(F.filter(items("imps"), lambda x: x.endswith(mark)),
+                                      lambda x: F.substring_index(x, "-", 1))
+    return b.select("_line", "imp_id", "user_id", "time", items("history").alias("history"),
+                    marked("-1").alias("pos"), marked("-0").alias("neg"))
+
+
+def read_review_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Python-literal style meta lines → item_id, cate: the last label of the first category path."""
+    raw = spark.read.text(path)
+    m = F.from_json("value", "asin string, categories array<array<string>>", {"allowSingleQuotes": "true"})
+    r = raw.select(m.alias("m"))
+    return r.select(F.col("m.asin").alias("item_id"), F.element_at(F.get("m.categories", F.lit(0)), -1).alias("cate"))
+
+
+BODY = "body_text array<struct<text:string>>"
+
+
+def fulltext_join(meta: DataFrame, bodies: DataFrame, files: list[str], key: str = "path", body: str = "json") -> DataFrame:
+    """Metadata rows with ``full_text``: the paragraphs of the first of ``files`` that is named and holds text.
+
+    Rows without any text are dropped. bodies: (path, json) with body_text paragraphs.
+    """
+    text = F.concat_ws(" ", F.transform(F.from_json(body, BODY)["body_text"], lambda p: p["text"]))
+    read = bodies.select(F.col(key).alias("_k"), text.alias("_t"))
+    out = meta
+    for i, f in enumerate(files):
+        out = out.join(read.withColumnsRenamed({"_k": f"_k{i}", "_t": f"_t{i}"}), F.col(f) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+    found = [F.when(F.col(f"_t{i}") != "", F.col(f"_t{i}")) for i in range(len(files))]
+    return (out.withColumn("full_text", F.coalesce(*found)).where("full_text IS NOT NULL")
+            .drop(*files, *(f"_t{i}" for i in range(len(files)))))
+
+
+BINDINGS = ("results struct<bindings:array<struct<entity:struct<value:string>,label:struct<value:string>>>>")
+
+
+def linked_entities(results: DataFrame, name: str, json: str) -> DataFrame:
+    """Query-result JSON per name → (name, entity, label); the entity is what follows the last slash of its address."""
+    b = results.select(name, F.explode(F.from_json(json, BINDINGS)["results"]["bindings"]).alias("b"))
+    return b.select(name, F.substring_index("b.entity.value", "/", -1).alias("entity"), F.col("b.label.value").alias("label"))

@@ -42,7 +42,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def to_libffm(df: DataFrame, label: str, fields: list[str], order: str) -> DataFrame:
     """`label f:i:v ...`: string fields get one index per distinct value (first appearance in
-    ``order``), numeric fields one index per field; string values are written as 1."""
+    ``order``), numeric fields one index per field; string values are written as 1. A null
+    field has no token on its line."""
     kinds = dict(df.dtypes)
     strings = [f for f in fields if kinds[f] == "string"]
     counts = df.agg(*[F.countDistinct(f).alias(f) for f in strings]).first() if strings else None
@@ -53,10 +54,10 @@ def to_libffm(df: DataFrame, label: str, fields: list[str], order: str) -> DataF
         if kinds[f] == "string":
             t = ordinal_table(df.where(F.col(f).isNotNull()), f, order).withColumnRenamed("code", f"_{fi}")
             out = out.join(t, f, "left").withColumn(f"_{fi}", F.col(f"_{fi}") + (offset - 1))
-            parts.append(F.concat_ws(":", F.lit(str(fi)), F.col(f"_{fi}").cast("string"), F.lit("1")))
+            parts.append(F.concat(F.lit(f"{fi}:"), F.col(f"_{fi}").cast("string"), F.lit(":1")))
             offset += counts[f]
         else:
-            parts.append(F.concat_ws(":", F.lit(str(fi)), F.lit(str(offset)), F.col(f).cast("string")))
+            parts.append(F.concat(F.lit(f"{fi}:{offset}:"), F.col(f).cast("string")))
             offset += 1
     return out.select(order, F.concat_ws(" ", F.col(label).cast("string"), *parts).alias("line"))
 
@@ -98,3 +99,26 @@ def doc_feature_lines(df: DataFrame, id_col: str, words: str, entities: str) ->
     """`doc w1,…,wn e1,…,en`."""
     j = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
     return df.select(F.concat_ws(" ", F.col(id_col).cast("string"), j(words), j(entities)).alias("value"))
+
+
+def train_lines(clicks: DataFrame, negatives: DataFrame, prefix: str = "train_") -> DataFrame:
+    """`1 train_user item` for each click and `0 train_user item` for each of its sampled negatives.
+
+    clicks: (user_id, item_id); negatives: (user_id, neg_item).
+    """
+    one = lambda label, item: F.format_string("%d %s%s %s", F.lit(label), F.lit(prefix), F.col("user_id").cast("string"),
+                                              F.col(item).cast("string")).alias("value")
+    return clicks.select(one(1, "item_id")).unionByName(negatives.select(one(0, "neg_item")))
+
+
+def valid_lines(rows: DataFrame, prefix: str = "valid_") -> DataFrame:
+    """`label valid_user item%session` for every candidate; rows: (label, user_id, item_id, session)."""
+    return rows.select(F.format_string("%d %s%s %s%%%s", F.col("label"), F.lit(prefix), F.col("user_id").cast("string"),
+                                       F.col("item_id").cast("string"), F.col("session").cast("string")).alias("value"))
+
+
+def user_history_lines(train: DataFrame, valid: DataFrame, history: str = "history") -> DataFrame:
+    """`train_user i1,i2,…` and `valid_user i1,i2,…`."""
+    def part(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(F.concat(F.lit(prefix), F.col("user_id").cast("string"), F.lit(" "), F.concat_ws(",", history)).alias("value"))
+    return part(train, "train_").unionByName(part(valid, "valid_"))
