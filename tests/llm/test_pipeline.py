@@ -88,11 +88,8 @@ def test_packing_stage(steps, plain):  # noqa: F811
     check_packed([(r.doc_id, r.text) for r in rows[4]], rows[5], plain)
 
 
-def test_run_and_registration(spark, steps):
+def test_registration():
     import __spark_entry__ as entry
-    q = entry.queries()
-    assert [n for n in q if re.match(r"op\d+_", n)] == [f"op{i}_{n.split('_', 1)[1]}" for i, n in zip((1, 2, 3, 4, 5, 6, 7, 8, 9, 10), (x for x in q if re.match(r"op\d+_", x)))]
-    assert q["pipeline"] is corpus_pipeline.run
-    got = corpus_pipeline.run(spark, SF_SMALL)
-    key = lambda rs: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rs)
-    assert key(got.collect()) == key(steps[0][-1])
+    q = [n for n in entry.queries() if re.match(r"op\d+_", n)]
+    assert [int(n[2:].split("_")[0]) for n in q] == list(range(1, 11))
+    assert entry.queries()["pipeline"] is corpus_pipeline.run
