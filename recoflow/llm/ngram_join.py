@@ -66,10 +66,14 @@ def gram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, band hashes) of non-empty sets. h XOR c_i orders the hashes anew for each i."""
+    """(fingerprint, band hashes) of non-empty sets. h * m_i + c_i (m_i odd) orders the hashes anew for each i.
+
+    A bare XOR would not: constants of equal leading bits pick the same element.
+    """
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    mins = np.stack([np.minimum.reduceat(flat ^ c, at) for c in _constants(bands * rows)], axis=1).reshape(len(sets), bands, rows)
+    orders = _constants(2 * bands * rows).reshape(-1, 2)
+    mins = np.stack([np.minimum.reduceat(flat * (m | C.U64(1)) + c, at) for m, c in orders], axis=1).reshape(len(sets), bands, rows)
     band = np.broadcast_to(np.arange(1, bands + 1, dtype=C.U64) * C.U64(0x8CB92BA72F3D8DD7), (len(sets), bands)).copy()
     for r in range(rows):
         band = C.mix64(band ^ mins[:, :, r]) * C.U64(0x9FB21C651E98DF25)
