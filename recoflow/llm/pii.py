@@ -5,7 +5,8 @@ addresses that the patterns leave, a window of tokens is segmented: every run
 of at most ``LONGEST`` tokens that could be an entity is scored as a whole
 (digit counts, check digit, separators, groups, edges, words before it) for each
 type, other tokens score nothing, and bounded-entity dynamic programming picks
-boundaries and types together. Base spans are fixed segments of it.
+boundaries and types together. Base spans are fixed segments of it: a number or address
+that touches one is cut there and the rest is searched, however long it is.
 
 The field is fitted by exact forward-backward gradients on windows around base spans of
 at most ``bound`` documents (those with the least id hashes), on spans as they stand
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +37,7 @@ from recoflow.llm import common as C
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 28  # tokens of an entity at most
 MARGIN = 32   # characters of context on either side
+STEP = 512    # tokens whose candidates are held at once
 FIT_DOCS = 8000
 FIT_WINDOWS = 600
 OUT = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
@@ -169,17 +172,21 @@ def span_features(text: str, s: int, e: int) -> tuple[int, ...] | None:
     return tuple(_NAMES[x] for x in out)
 
 
-def window_at(text: str, s: int, e: int, margin: int = MARGIN) -> Window:
+def _bounds(text: str, s: int, e: int, margin: int) -> list[int]:
+    """Token boundaries of the window around [s, e), as offsets in the text."""
     a, z = max(0, s - margin), min(len(text), e + margin)
     while a > 0 and s - a < 2 * margin and text[a - 1].isalnum() and text[a].isalnum():
         a -= 1
     while z < len(text) and z - e < 2 * margin and text[z - 1].isalnum() and text[z].isalnum():
         z += 1
-    bounds = [m.start() for m in _TOKEN.finditer(text, a, z)] + [z]
-    w = Window(a, bounds)
-    near = text[a:z].lower()
+    return [m.start() for m in _TOKEN.finditer(text, a, z)] + [z]
+
+
+def _segments(text: str, bounds: list[int], first: int, end: int):
+    """(first token, end token, features) of the candidates that begin at tokens first to end - 1."""
+    near = text[bounds[first]:bounds[min(end + LONGEST, len(bounds) - 1)]].lower()
     mail = "@" in near or "(at)" in near or "[at]" in near or " at " in near
-    for i in range(len(bounds) - 1):
+    for i in range(first, end):
         c = text[bounds[i]]
         if not (c.isalnum() or c in "+("):
             continue
@@ -190,10 +197,14 @@ def window_at(text: str, s: int, e: int, margin: int = MARGIN) -> Window:
                 continue
             f = span_features(text, bounds[i], bounds[j])
             if f is not None:
-                w.segments.append((i, j, f))
+                yield i, j, f
             elif not mail and j - i > 3 and not any("0" <= ch <= "9" for ch in text[bounds[i]:bounds[j]]):
                 break
-    return w
+
+
+def window_at(text: str, s: int, e: int, margin: int = MARGIN) -> Window:
+    bounds = _bounds(text, s, e, margin)
+    return Window(bounds[0], bounds, list(_segments(text, bounds, 0, len(bounds) - 1)))
 
 
 # ---- the field
@@ -337,21 +348,83 @@ def fit(docs: DataFrame, bound: int = FIT_DOCS, windows: int = FIT_WINDOWS) -> n
     return train([x for r in got for x in examples_of(r["near"], base_spans(r["near"])) if r["e"] - r["s"] <= 80])
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _pieces(s: int, e: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """What the taken spans leave of [s, e)."""
+    out = []
+    k = bisect_right(ends, s)
+    while s < e and k < len(starts) and starts[k] < e:
+        if s < starts[k]:
+            out.append((s, starts[k]))
+        s = ends[k]
+        k += 1
+    return out + [(s, e)] if s < e else out
+
+
+def decode_at(text: str, s: int, e: int, weights: np.ndarray, starts: list[int], ends: list[int], floor: int) -> list[tuple[int, int, int]]:
+    """``decode`` of the window around [s, e) whatever its length: candidates are made ``STEP`` tokens at a time.
+
+    No entity touches the taken spans (starts, ends) or begins before ``floor``.
+    """
+    bounds = _bounds(text, s, e, MARGIN)
+    n = len(bounds) - 1
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    by_end: dict[int, list[tuple[float, int, int]]] = {}
+    for first in range(0, n, STEP):
+        end = min(first + STEP, n)
+        free = []
+        for x in _segments(text, bounds, first, end):
+            a, z = bounds[x[0]], bounds[x[1]]
+            k = bisect_right(ends, a)
+            if a >= floor and (k == len(starts) or starts[k] >= z):
+                free.append(x)
+        scores = _scores(Window(bounds[first], bounds, free), weights)
+        for (i, j, _), score, kind in zip(free, scores.max(axis=1).tolist(), scores.argmax(axis=1).tolist()):
+            by_end.setdefault(j, []).append((score, i, kind))
+        for t in range(first + 1, end + 1):
+            best[t] = best[t - 1]
+            for score, i, kind in by_end.pop(t, ()):
+                if best[i] + score > best[t]:
+                    best[t], back[t] = best[i] + score, (i, kind)
+    out, t = [], n
+    while t > 0:
+        if back[t] is None:
+            t -= 1
+        else:
+            i, kind = back[t]
+            out.append((kind, bounds[i], bounds[t]))
+            t = i
+    return out[::-1]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray | None) -> list[tuple[int, int, int]]:
-    taken = sorted((s, e) for _, s, e in base)
+    """Entities in the suspects, as far as base spans leave them: a suspect is cut at base spans, never left out."""
     out: list[tuple[int, int, int]] = []
     done = 0
     if weights is None:
         return out
-    for s, e in suspects(text):
-        if s < done or e - s > 400 or any(a < e and s < z for a, z in taken):
-            continue
-        w = window_at(text, s, e)
-        for kind, a, z in decode(w, _scores(w, weights), taken):
-            if a < e and s < z and a >= done:
-                out.append((kind, a, z))
-                taken.append((a, z))
-                done = max(done, z)
+    starts, ends = _merged([(s, e) for _, s, e in base])
+    for first, last in suspects(text):
+        for s, e in _pieces(max(first, done), last, starts, ends):
+            s = max(s, done)
+            if s >= e or len(_only_digits(text[s:e])) < 7 and not any(c.isalpha() for c in text[s:e]):
+                continue  # no entity is in it
+            for kind, a, z in decode_at(text, s, e, weights, starts, ends, done):
+                if a < e and s < z:
+                    out.append((kind, a, z))
+                    done = max(done, z)
     return out
 
 
