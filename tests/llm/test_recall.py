@@ -40,3 +40,21 @@ def test_line_dedup_recall(spark):
     for union in ("10", "20", "40", "80"):
         found = np.mean([(sig[union, str(k), "0"] == sig[union, str(k), "1"]).all(axis=1).any() for k in range(PAIRS)])
         assert found >= L.RECALL - 0.013, (union, found)
+
+
+def test_edited_lines_are_found(spark):
+    """One changed character in 40-80 characters, and one changed short word, whatever the shingle width in use."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(300):
+        size = int(rng.integers(40, 81))
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), size))
+        if k % 2:
+            at = int(rng.integers(0, size))
+            other = line[:at] + "#" + line[at + 1:]
+        else:  # a word of three letters, at the line's end
+            line, other = f"{line} now", f"{line} yet"
+        rows += [(2 * k, line), (2 * k + 1, other)]
+    got = {r.doc_id: r.class_doc_id for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [k for k in range(300) if got[2 * k + 1] != 2 * k]
+    assert len(missed) <= 3 * (1 - L.RECALL) * 300, missed
