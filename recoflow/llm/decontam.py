@@ -223,14 +223,21 @@ def benchmark_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 
 def matches(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """One row per leaked passage: doc_id, item_id, start and end (code points), edits."""
+    """One row per leaked passage: doc_id, item_id, start and end (code points), edits.
+
+    With several blocks, each one's matches are written before the next index is built.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.whole_text().alias("text"))
-    out = None
+    out, last = None, None
     for rows in benchmark_blocks(items):
-        one = texts.mapInArrow(_scan(build_index(rows, q, rate), q), OUT)
-        out = one if out is None else out.union(one)
-    return out if out is not None else spark.createDataFrame([], OUT)
+        if last is not None:
+            last = C.checkpointed(last)
+            out = last if out is None else out.union(last)
+        last = texts.mapInArrow(_scan(build_index(rows, q, rate), q), OUT)
+    if last is None:
+        return spark.createDataFrame([], OUT)
+    return last if out is None else out.union(last)
 
 
 def _scan(index: Index, q: int):

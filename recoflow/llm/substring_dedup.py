@@ -10,7 +10,7 @@ all documents share costs at most one entry per block. One task per range finds
 the smallest document of each hash and answers each block with one bit per
 entry ("a smaller document elsewhere has it"). The block (same exchange of the
 texts, reused) recomputes its entries and turns bits into maximal removal
-intervals. The answer is exact up to collisions of 64-bit hashes.
+intervals. Rows without ``doc_id`` stay where they are. The answer is exact up to collisions of 64-bit hashes.
 
 Defined cases: a null or blank text has no words; texts under 13 words lose
 nothing; a row without ``doc_id`` neither removes nor loses words; rows that
@@ -179,6 +179,17 @@ def apply_bits(width: int, n_ranges: int, texts: bool):
     return run
 
 
+def _alone(width: int, n_ranges: int, texts: bool):
+    """Rows without doc_id, which no window of another row touches: where they are, 512 at a time."""
+    none = pa.table({"rng": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                yield from apply_bits(width, n_ranges, texts)(pa.Table.from_batches([b.slice(i, 512)]), none).to_batches()
+    return run
+
+
 def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20, texts: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, kept text, removed word intervals.
 
@@ -191,12 +202,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 <<
     n_ranges = 256
     while n_ranges * block_bytes < size:
         n_ranges *= 2
-    blocks = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.whole_text().alias("text"))
-              .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.whole_text().alias("text"))
+    blocks = (rows.where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
               .repartition(n_blocks, "block"))
     asked = blocks.groupBy("block").applyInArrow(ask(width, n_ranges), "rng long, block long, hashes binary, docs binary")
     answers = asked.groupBy("rng").applyInArrow(answer, "rng long, block long, bits binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply_bits(width, n_ranges, texts), OUT)
+    judged = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply_bits(width, n_ranges, texts), OUT)
+    return judged.union(rows.where("doc_id IS NULL").mapInArrow(_alone(width, n_ranges, texts), OUT))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
