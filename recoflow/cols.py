@@ -23,6 +23,6 @@ DEFAULT = Cols()
 
 def require(df, *names: str, what: str = "data") -> None:
     """Raise when a role column is missing (schema check, no Spark job)."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"Schema of {what} not valid. Missing column(s) {missing}")
+    absent = sorted(set(names) - set(df.columns))
+    if absent:
+        raise ValueError(f"{what} lacks {', '.join(absent)}; it has {', '.join(df.columns)}")

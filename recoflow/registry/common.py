@@ -33,3 +33,6 @@ SQL_TRAIN_TEST = (
     ("train", "SELECT user_id, item_id, rating, ts FROM _chrono WHERE _f <= 0.75"),
     ("test", "SELECT user_id, item_id, rating, ts FROM _chrono WHERE _f > 0.75"),
 )
+
+# the mean rating of train as a one-row table
+TRAIN_MEAN = ("m", "SELECT avg(rating) AS mean FROM train")

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from recoflow.functions.hashing import sql_hash_uniform, hash_uniform
+from recoflow.functions.hashing import sql_hash_int, sql_hash_uniform, hash_uniform
 from recoflow.operators import encode as en
 from recoflow.registry import register
-from recoflow.registry.common import SQL_TRAIN_TEST, T, rnd, train_test
+from recoflow.registry.common import SQL_TRAIN_TEST, TRAIN_MEAN, T, rnd, train_test
 from recoflow.sources import fixtures as fx
 from recoflow.sources.fixtures import with_views
 
@@ -86,14 +86,14 @@ def q_decayed_popularity(spark, sf):
 
 
 @register("blend_with_mean", tv(
-    "SELECT user_id, item_id, round(0.4 * rating + (1 - 0.4) * (SELECT avg(rating) FROM train), 6) AS rating FROM train"))
+    "SELECT user_id, item_id, round(0.4 * rating + (1 - 0.4) * m.mean, 6) AS rating FROM train, m", TRAIN_MEAN))
 def q_blend_with_mean(spark, sf):
     train, _ = train_test(spark, sf)
     return en.blend_with_mean(train, 0.4).select("user_id", "item_id", rnd("rating").alias("rating"))
 
 
 @register("mean_center", tv(
-    "SELECT user_id, item_id, round(rating - (SELECT avg(rating) FROM train), 6) AS rating FROM test"))
+    "SELECT user_id, item_id, round(rating - m.mean, 6) AS rating FROM test, m", TRAIN_MEAN))
 def q_mean_center(spark, sf):
     train, test = train_test(spark, sf)
     return en.mean_center(test, train).select("user_id", "item_id", rnd("rating").alias("rating"))
@@ -206,8 +206,7 @@ def q_length_normalize(spark, sf):
 
 
 @register("crossed_bucket", with_views(
-    "SELECT user_id, item_id, CAST('0x' || substr(md5(concat_ws('|', '0', CAST(user_id AS VARCHAR), "
-    "CAST(item_id AS VARCHAR))), 1, 8) AS BIGINT) % 1000 AS cross_bucket FROM ratings"))
+    f"SELECT user_id, item_id, {sql_hash_int(0, 'user_id', 'item_id')} % 1000 AS cross_bucket FROM ratings"))
 def q_crossed_bucket(spark, sf):
     return en.crossed_bucket(fx.ratings(T(spark, sf)).select("user_id", "item_id"), 1000)
 

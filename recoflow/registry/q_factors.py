@@ -8,7 +8,7 @@ from recoflow.operators import factors as fa
 from recoflow.operators import graph as gr
 from recoflow.operators.encode import blend_with_mean
 from recoflow.registry import register
-from recoflow.registry.common import K, SQL_TRAIN_TEST, T, rnd, train_test
+from recoflow.registry.common import K, SQL_TRAIN_TEST, TRAIN_MEAN, T, rnd, train_test
 from recoflow.sources import fixtures as fx
 from recoflow.sources.fixtures import with_views
 
@@ -95,8 +95,8 @@ def q_pair_combination(spark, sf):
 
 
 @register("factor_predict", tv(
-    f"SELECT t.user_id, t.item_id, round({DOT.format(a='u.features', b='i.features')} + (SELECT avg(rating) FROM train), 6)"
-    " AS prediction FROM test t JOIN uf u ON t.user_id = u.user_id JOIN itf i ON t.item_id = i.item_id", UF_SQL, IF_SQL))
+    f"SELECT t.user_id, t.item_id, round({DOT.format(a='u.features', b='i.features')} + m.mean, 6)"
+    " AS prediction FROM test t JOIN uf u ON t.user_id = u.user_id JOIN itf i ON t.item_id = i.item_id, m", UF_SQL, IF_SQL, TRAIN_MEAN))
 def q_factor_predict(spark, sf):
     t = T(spark, sf)
     train, test = train_test(spark, sf)
@@ -164,8 +164,8 @@ def q_bilinear(spark, sf):
     return _bilinear(spark, sf, "score")
 
 
-@register("bilinear_above_mean", tv("SELECT user_id, item_id, CAST(score > (SELECT avg(score) FROM bil) AS DOUBLE) AS score FROM bil",
-                                    UF_SQL, IF_SQL, _BIL))
+@register("bilinear_above_mean", tv("SELECT user_id, item_id, CAST(score > bm.mean AS DOUBLE) AS score FROM bil, bm",
+                                    UF_SQL, IF_SQL, _BIL, ("bm", "SELECT avg(score) AS mean FROM bil")))
 def q_bilinear_mean(spark, sf):
     return _bilinear(spark, sf, "mean")
 
