@@ -1,11 +1,10 @@
 """Exact ranks without single-task windows.
 
 ``rank_within``: 1-based position of each row inside its group, where the
-group may be huge (one user holding a third of all rows). Rows are first cut
-into sub-groups by a *bucket* that is monotone in the sort order; bucket sizes
-are counted (a partial aggregate) and turned into offsets on that small table,
-so the full-data window runs per (group, bucket) and no task sees a whole hot
-group.
+group may be huge (one user holding a third of all rows, on one day). Groups are
+cut by *digits* of the sort order, from coarse to fine: a bucket over a row
+bound is cut again by the next digit, from counts alone (``cut``). The counts become
+offsets, so the full-data window runs per (group, path) and no task sees a whole hot group.
 
 ``global_rank``: 1-based position in a total order over the whole table, via
 range partitioning (which splits hot keys, as the order key is unique) plus
@@ -26,44 +25,109 @@ from recoflow.session import ensure_checkpoint_dir
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                bucket: Column, rank_col: str = "_rn", count_col: str = "_cnt") -> DataFrame:
+ROW_BOUND = 1 << 18  # rows of one (group, bucket) that a window may hold before it is cut again
+
+
+def _digits(bucket: Column | Sequence[Column]) -> list[Column]:
+    return [bucket] if isinstance(bucket, Column) else list(bucket)
+
+
+def number_digits(df: DataFrame, name: str, width: int = 1 << 10) -> list[Column]:
+    """Digits of a whole-number column, monotone in it, from coarse to fine; none for other types."""
+    if dict(df.dtypes)[name] not in ("tinyint", "smallint", "int", "bigint"):
+        return []
+    value = F.col(name).cast("bigint")
+    return [F.floor(value / (width * width)), F.floor(value / width), value]
+
+
+def time_digits(name: str, bucket_seconds: int = 86400) -> list[Column]:
+    """Digits of a time in seconds: bucket, minute, second."""
+    t = F.col(name)
+    return [F.floor(t / bucket_seconds), F.floor(t / 60), t]
+
+
+def hex_digits(name: str, levels: int = 4) -> list[Column]:
+    """Digits of a hex key: two letters each, 256 ways."""
+    return [F.substring(name, 1 + 2 * i, 2) for i in range(levels)]
+
+
+def cut(df: DataFrame, keys: Sequence[str], bucket: Column | Sequence[Column], bound: int = ROW_BOUND,
+        measure: Column | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Radix refinement: (rows with path columns, leaves, path columns).
+
+    ``bucket`` holds digits of the sort order from coarse to fine. Each group is cut
+    by the first one; a (group, bucket) of more than ``bound`` rows is cut again by the
+    next, and so on, from counts alone. A digit that was not needed is null, so
+    paths compare as the rows do. ``leaves`` has one row per (group, path): ``_bc`` (its
+    rows, or the sum of ``measure``), ``_off`` (that of the group's earlier leaves) and ``_all``
+    (that of the group). Without a crowded bucket this is one counting pass; every
+    level more reads only the crowded buckets' rows. Counts are checkpointed, so each is made once.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    keys, digits = list(keys), _digits(bucket)
+    path: list[str] = []
+    rows, leaves, crowded = df, None, None
+    for level, digit in enumerate(digits):
+        name = f"_b{level}"
+        if crowded is None:
+            rows = deeper = rows.withColumn(name, digit)
+        else:
+            side = {c: f"_o_{i}" for i, c in enumerate([*keys, *path])}
+            same = reduce(and_, (F.col(c).eqNullSafe(F.col(o)) for c, o in side.items()))
+            marks = crowded.select(*keys, *path, F.lit(True).alias("_deep")).withColumnsRenamed(side)
+            deeper = rows.join(marks.drop("_deep"), same, "left_semi").withColumn(name, digit)
+            rows = (rows.join(marks, same, "left").withColumn(name, F.when(F.col("_deep"), digit))
+                    .drop("_deep", *side.values()))
+        path.append(name)
+        total = F.count(F.lit(1)) if measure is None else F.sum(measure)
+        counts = deeper.groupBy(*keys, *path).agg(F.count(F.lit(1)).alias("_rows"), total.alias("_bc")).checkpoint(eager=True)
+        last = level == len(digits) - 1
+        crowded = None if last else counts.where(F.col("_rows") > bound)
+        done = counts if last else counts.where(F.col("_rows") <= bound)
+        done = done.drop("_rows")
+        leaves = done if leaves is None else leaves.withColumn(name, F.lit(None)).unionByName(done)
+        if last or crowded.isEmpty():
+            break
+    before = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    leaves = (leaves.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+              .withColumn("_all", F.sum("_bc").over(Window.partitionBy(*keys))))
+    return rows, leaves, path
+
+
+def _with_offsets(rows: DataFrame, leaves: DataFrame, on: list[str]) -> DataFrame:
+    """Null keys and buckets are groups like any other, so every row finds its offset."""
+    side = {c: f"_o_{i}" for i, c in enumerate(on)}
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(o)) for c, o in side.items()))
+    return rows.join(leaves.withColumnsRenamed(side), same).drop(*side.values())
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column | Sequence[Column],
+                rank_col: str = "_rn", count_col: str = "_cnt", bound: int = ROW_BOUND) -> DataFrame:
+    """1-based position (``rank_col``) of each row in its group and the group's size (``count_col``).
+
+    ``bucket``: one monotone bucket or digits of the order from coarse to fine (``cut``).
+    """
     keys = list(keys)
-    b = df.withColumn("_b", bucket)
-    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    w_prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (sizes
-               .withColumn("_off", F.coalesce(F.sum("_bc").over(w_prev), F.lit(0)))
-               .withColumn(count_col, F.sum("_bc").over(Window.partitionBy(*keys)))
-               .drop("_bc"))
-    w_in = Window.partitionBy(*keys, "_b").orderBy(*order)
-    ranked = b.withColumn("_rn0", F.row_number().over(w_in))
-    # null keys and buckets are groups like any other, so every row finds its offset
-    side = {k: f"_o_{i}" for i, k in enumerate([*keys, "_b"])}
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in side.items()))
-    return (ranked.join(offsets.withColumnsRenamed(side), same)
+    rows, leaves, path = cut(df, keys, bucket, bound)
+    inside = Window.partitionBy(*keys, *path).orderBy(*order)
+    ranked = rows.withColumn("_rn0", F.row_number().over(inside))
+    return (_with_offsets(ranked, leaves.drop("_bc"), [*keys, *path])
             .withColumn(rank_col, (F.col("_off") + F.col("_rn0")).cast("bigint"))
-            .drop("_b", "_off", "_rn0", *side.values()))
+            .withColumnRenamed("_all", count_col).drop("_off", "_rn0", *path))
 
 
-def count_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,
-                 flag: Column, out: str) -> DataFrame:
+def count_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column | Sequence[Column],
+                 flag: Column, out: str, bound: int = ROW_BOUND) -> DataFrame:
     """``out``: how many flagged rows of the group stand before the row, in (bucket, order).
 
-    Two levels as in ``rank_within``: a window per (group, bucket), and offsets from
-    the buckets' flag counts.
+    Cut as in ``rank_within``: a window per (group, path), and offsets from the leaves' flag counts.
     """
     keys = list(keys)
-    b = df.withColumn("_b", bucket).withColumn("_f", F.when(flag, 1).otherwise(0).cast("bigint"))
-    sizes = b.groupBy(*keys, "_b").agg(F.sum("_f").alias("_bc"))
-    prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bc").over(prev), F.lit(0))).drop("_bc")
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = b.withColumn("_in", F.coalesce(F.sum("_f").over(inside), F.lit(0)))
-    side = {k: f"_o_{i}" for i, k in enumerate([*keys, "_b"])}
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(o)) for k, o in side.items()))
-    return (counted.join(offsets.withColumnsRenamed(side), same).withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_b", "_f", "_in", "_off", *side.values()))
+    rows, leaves, path = cut(df.withColumn("_f", F.when(flag, 1).otherwise(0).cast("bigint")), keys, bucket, bound, F.col("_f"))
+    inside = Window.partitionBy(*keys, *path).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("_in", F.coalesce(F.sum("_f").over(inside), F.lit(0)))
+    return (_with_offsets(counted, leaves.drop("_bc", "_all"), [*keys, *path]).withColumn(out, F.col("_off") + F.col("_in"))
+            .drop("_f", "_in", "_off", *path))
 
 
 def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "_grank",

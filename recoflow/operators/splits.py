@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from recoflow.cols import DEFAULT, Cols, require
 from recoflow.functions.hashing import hash_key, hash_uniform
 from recoflow.operators.clean import min_rating_filter
-from recoflow.operators.ordering import global_rank, rank_within
+from recoflow.operators.ordering import global_rank, hex_digits, number_digits, rank_within, time_digits
 
 SPLIT = "split"
 
@@ -58,7 +58,7 @@ def random_split(df: DataFrame, ratio=0.75, seed: int = 42, cols: Cols = DEFAULT
     return df.withColumn(SPLIT, _case(u, split_bounds(ratio), upper_inclusive=False))
 
 
-def _stratified(df: DataFrame, ratio, by: str, order: list, bucket: Column) -> DataFrame:
+def _stratified(df: DataFrame, ratio, by: str, order: list, bucket: list[Column]) -> DataFrame:
     bounds = split_bounds(ratio)
     ranked = rank_within(df, [by], order, bucket)
     frac = F.col("_rn") / F.col("_cnt")
@@ -75,9 +75,7 @@ def stratified_split(df: DataFrame, ratio=0.75, min_rating: int = 1, filter_by:
         df = min_rating_filter(df, min_rating, filter_by, cols)
     by = cols.user if filter_by == "user" else cols.item
     key = hash_key(seed, cols.user, cols.item)
-    # the first two hex digits of the order key are monotone in it: 256 sub-groups
-    return _stratified(df.withColumn("_hk", key), ratio, by, ["_hk", cols.item],
-                       F.substring("_hk", 1, 2)).drop("_hk")
+    return _stratified(df.withColumn("_hk", key), ratio, by, ["_hk", cols.item], hex_digits("_hk")).drop("_hk")
 
 
 def chrono_split(df: DataFrame, ratio=0.75, min_rating: int = 1, filter_by: str = "user",
@@ -90,8 +88,8 @@ def chrono_split(df: DataFrame, ratio=0.75, min_rating: int = 1, filter_by: str
         df = min_rating_filter(df, min_rating, filter_by, cols)
     by = cols.user if filter_by == "user" else cols.item
     other = cols.item if by == cols.user else cols.user
-    bucket = F.floor(F.col(cols.timestamp) / bucket_seconds)
-    return _stratified(df, ratio, by, [cols.timestamp, other], bucket)
+    digits = time_digits(cols.timestamp, bucket_seconds) + number_digits(df, other)
+    return _stratified(df, ratio, by, [cols.timestamp, other], digits)
 
 
 def timestamp_split(df: DataFrame, ratio=0.75, cols: Cols = DEFAULT) -> DataFrame:
@@ -120,8 +118,7 @@ def per_user_holdout(df: DataFrame, test_pct: float = 20.0, seed: int = 42,
                      cols: Cols = DEFAULT) -> DataFrame:
     """Per user, ``round(n_rated * pct / 100)`` random ratings go to test (split 1)."""
     key = hash_key(seed, cols.user, cols.item)
-    ranked = rank_within(df.withColumn("_hk", key), [cols.user], ["_hk", cols.item],
-                         F.substring("_hk", 1, 2))
+    ranked = rank_within(df.withColumn("_hk", key), [cols.user], ["_hk", cols.item], hex_digits("_hk"))
     n_test = F.bround(F.col("_cnt") * F.lit(test_pct) / 100.0, 0)
     return (ranked.withColumn(SPLIT, F.when(F.col("_rn") <= n_test, 1).otherwise(0).cast("int"))
             .drop("_rn", "_cnt", "_hk"))
@@ -132,8 +129,9 @@ def leave_last_two(df: DataFrame, cols: Cols = DEFAULT, bucket_seconds: int = 86
     """Per user in time order: last → test (2), last-but-one → valid (1), rest → train (0).
 
     ``order`` is the full sort key (default: timestamp, item); it must start with the timestamp."""
-    bucket = F.floor(F.col(cols.timestamp) / bucket_seconds)
-    ranked = rank_within(df, [cols.user], order or [cols.timestamp, cols.item], bucket)
+    order = order or [cols.timestamp, cols.item]
+    digits = time_digits(cols.timestamp, bucket_seconds) + [d for c in order[1:2] for d in number_digits(df, c)]
+    ranked = rank_within(df, [cols.user], order, digits)
     back = F.col("_cnt") - F.col("_rn")
     return (ranked.withColumn(SPLIT, F.when(back == 0, 2).when(back == 1, 1).otherwise(0).cast("int"))
             .drop("_rn", "_cnt"))
