@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from recoflow.llm import (
     decontam,
+    histogram_shards,
     line_dedup,
     lm_mixing,
     ngram_join,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op12_histogram_shards": histogram_shards.op12,
 }
 ORACLES = {
     "op7_ngram_join": ngram_join.SQL,
