@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from recoflow.llm import (
+    conversation_repair,
     decontam,
     histogram_shards,
     line_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9,
     "op10_substring_dedup": substring_dedup.op10,
     "op12_histogram_shards": histogram_shards.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 ORACLES = {
     "op7_ngram_join": ngram_join.SQL,
