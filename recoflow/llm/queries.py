@@ -14,6 +14,7 @@ from recoflow.llm import (
     quality_fm,
     quality_rules,
     substring_dedup,
+    token_align,
     token_arrow,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_token_align": token_align.op11,
     "op12_histogram_shards": histogram_shards.op12,
     "op13_conversation_repair": conversation_repair.op13,
 }
