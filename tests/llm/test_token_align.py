@@ -14,6 +14,10 @@ from recoflow.llm.tokens import byte_letters, vocabulary_path
 from tests.conftest import SF_SMALL
 
 
+def PATHS():
+    return [vocabulary_path(n) for n in (ta.A_VOCABULARY, ta.B_VOCABULARY, ta.A_RANKS)]
+
+
 @pytest.fixture(scope="module")
 def plain():
     """text -> ((A id, start, end)..., (B id, start, end)...) by whole-text encoding; None without tokens."""
@@ -98,7 +102,7 @@ def _texts():
 
 def test_stretches_encode_like_whole_texts(plain):
     texts = [t for t in _texts() if t]
-    v = ta.vocabularies(vocabulary_path(ta.A_VOCABULARY), vocabulary_path(ta.B_VOCABULARY))
+    v = ta.vocabularies(*PATHS())
     spaced = pa.array([" " + t for t in texts])
     data, offs = C.utf8_of(spaced)
     starts = ta.stretch_starts(data, offs)
@@ -121,7 +125,7 @@ def _got(df):
 
 
 def test_against_plain_walk(spark, plain, monkeypatch):
-    monkeypatch.setattr(C, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(ta, "CHUNK_BYTES", 2000)
     rows = list(enumerate(_texts())) + [(None, "the same text")] * 3 + [(2, "the same text"), (None, None)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, block int, pair string").repartition(3)
     assert _got(ta.align_documents(df)) == _want(rows, plain)
@@ -134,7 +138,7 @@ def test_whole_small_table(spark, plain):
 
 def test_store_is_bounded(plain, monkeypatch):
     monkeypatch.setattr(ta, "KEPT_BYTES", 1000)
-    v = ta.Vocabularies(vocabulary_path(ta.A_VOCABULARY), vocabulary_path(ta.B_VOCABULARY))
+    v = ta.Vocabularies(*PATHS())
     for k in range(5):
         stretches = pa.array([f" word{k}{i}".encode() for i in range(20)], pa.binary())
         in_a, _, good = v.tokens(stretches)
