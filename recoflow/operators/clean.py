@@ -76,37 +76,85 @@ def token_frequency(df: DataFrame, text_col: str, id_col: str | None = None) ->
     return toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BASE = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float"}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+DENSE = 64  # ids are dense when their range is at most so many times the rows
+
+
+def base_type(dtype: str) -> str:
+    """Whole numbers of any width are one type, and so are fractions; other types stand for themselves."""
+    return "float" if dtype.startswith("decimal") else _BASE.get(dtype, dtype)
+
+
+def distinct_count(df: DataFrame, name: str, dense: bool) -> DataFrame:
+    """One row, ``n``: the exact number of distinct values (nulls left out), by partial aggregates only.
+
+    Dense whole numbers set bits: one bitmap per 32,768 neighbouring ids, merged by OR; other values are grouped.
+    """
+    value = df.where(F.col(name).isNotNull()).select(F.col(name).alias("v"))
+    if not dense:
+        return value.groupBy("v").agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("n"))
+    v = F.col("v").cast("bigint")
+    bits = value.groupBy(F.bitmap_bucket_number(v).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("m"))
+    return bits.agg(F.coalesce(F.sum(F.bitmap_count("m")), F.lit(0)).cast("bigint").alias("n"))
+
+
+def check_inputs(truth: DataFrame, pred: DataFrame, cols: Cols = DEFAULT, truth_value: str | None = None,
+                 pred_value: str | None = None) -> None:
+    """Refuse inputs no metric can be computed from: a missing column, an empty frame, ids of different base types, a value that is no number.
+
+    Looks at the schemas first; then one row of each frame is asked for.
+    """
+    values = {"truth": truth_value or cols.rating, "prediction": pred_value or cols.prediction}
+    frames = {"truth": truth, "prediction": pred}
+    for what, df in frames.items():
+        require(df, cols.user, cols.item, values[what], what=what)
+        dtype = dict(df.dtypes)[values[what]]
+        if base_type(dtype) not in ("int", "float"):
+            raise TypeError(f"{what}.{values[what]} is {dtype}, not a number")
+    for role in (cols.user, cols.item):
+        left, right = (dict(df.dtypes)[role] for df in frames.values())
+        if base_type(left) != base_type(right):
+            raise TypeError(f"{role} is {left} in the truth and {right} in the prediction")
+    for what, df in frames.items():
+        if df.isEmpty():
+            raise ValueError(f"the {what} has no rows")
+
+
 def contract_report(df: DataFrame, cols: Cols = DEFAULT, other: DataFrame | None = None,
-                    roles: Sequence[str] = ("user", "item", "rating")) -> DataFrame:
+                    roles: Sequence[str] = ("user", "item", "rating"), strict: bool = False) -> DataFrame:
     """One data-quality row per role column: rows, nulls, distinct values, duplicate
     (user,item) keys and whether the base type matches ``other`` (if given).
 
-    Computed in one aggregate pass, then unpivoted.
+    With ``strict`` an empty table raises ValueError and a base type that differs TypeError.
+    Rows, nulls and ranges come from one pass (numbers that decide how distinct values are counted);
+    distinct values from one partially aggregated count a column (``distinct_count``).
     """
     names = [getattr(cols, r) for r in roles]
     require(df, *names)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for n in names:
-        aggs += [F.count_if(F.col(n).isNull()).alias(f"nulls__{n}"),
-                 F.countDistinct(F.col(n)).alias(f"distinct__{n}")]
-    stats = df.agg(*aggs)
-    dup = (df.groupBy(cols.user, cols.item).agg(F.count(F.lit(1)).alias("_c"))
-           .agg(F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c") - 1)), F.lit(0)).cast("bigint")
-                .alias("dup_keys")))
     types = dict(df.dtypes)
-    other_types = dict(other.dtypes) if other is not None else types
-    base = {"int": "int", "bigint": "int", "smallint": "int", "tinyint": "int",
-            "float": "float", "double": "float"}
-    rows = []
+    other_types = types if other is None else dict(other.dtypes)
+    match = {n: base_type(types[n]) == base_type(other_types.get(n, "")) for n in names}
+    if strict and not all(match.values()):
+        raise TypeError("; ".join(f"{n} is {types[n]}, but {other_types.get(n, 'absent')} in the other table" for n in names if not match[n]))
+    whole = [n for n in names if types[n] in _WHOLE]
+    aggs = [F.count(F.lit(1)).alias("rows"), *(F.count(n).alias(f"filled__{n}") for n in names),
+            *(F.min(n).alias(f"low__{n}") for n in whole), *(F.max(n).alias(f"high__{n}") for n in whole)]
+    seen = df.agg(*aggs).first()
+    if strict and not seen["rows"]:
+        raise ValueError("the table has no rows")
+    dup = (df.groupBy(cols.user, cols.item).agg(F.count(F.lit(1)).alias("_c"))
+           .agg(F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c") - 1)), F.lit(0)).cast("bigint").alias("dup_keys")))
+    out = None
     for n in names:
-        match = base.get(types[n], types[n]) == base.get(other_types.get(n, ""), other_types.get(n, ""))
-        rows.append(F.struct(F.lit(n).alias("column"), F.lit(types[n]).alias("dtype"),
-                             F.col(f"nulls__{n}").cast("bigint").alias("nulls"),
-                             F.col(f"distinct__{n}").cast("bigint").alias("distinct_values"),
-                             F.lit(match).alias("dtype_match")))
-    return (stats.join(dup, how="inner")
-            .select(F.col("_rows").alias("rows"), "dup_keys", F.explode(F.array(*rows)).alias("r"))
-            .select("r.column", "r.dtype", "rows", "r.nulls", "r.distinct_values", "dup_keys", "r.dtype_match"))
+        dense = n in whole and seen[f"low__{n}"] is not None and seen[f"high__{n}"] - seen[f"low__{n}"] < DENSE * max(1, seen["rows"])
+        row = distinct_count(df, n, dense).select(
+            F.lit(n).alias("column"), F.lit(types[n]).alias("dtype"), F.lit(seen["rows"]).cast("bigint").alias("rows"),
+            F.lit(seen["rows"] - seen[f"filled__{n}"]).cast("bigint").alias("nulls"), F.col("n").alias("distinct_values"),
+            F.lit(match[n]).alias("dtype_match"))
+        out = row if out is None else out.unionByName(row)
+    return (out.join(F.broadcast(dup))  # one row
+            .select("column", "dtype", "rows", "nulls", "distinct_values", "dup_keys", "dtype_match"))
 
 
 def no_overlap_count(reco: DataFrame, train: DataFrame, cols: Cols = DEFAULT) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from recoflow.cols import DEFAULT, Cols
 from recoflow.functions.hashing import hash_bucket
@@ -198,11 +201,62 @@ def metrics_long(wide: DataFrame, id_cols: Sequence[str], name_col: str = "metri
     return wide.unpivot(list(id_cols), vals, name_col, value_col)
 
 
+def covariance(df: DataFrame, col: str) -> DataFrame:
+    """(i, j, mean_i, cov) of an array column: sample covariance of its dimensions, i and j from 0; null arrays are left out.
+
+    Every task adds up the outer products of its rows, block by block, and returns one d x d matrix as rows;
+    Spark adds the tasks' matrices (d² rows each, whatever the table's size).
+    """
+    def outer(batches):
+        total = None
+        for b in batches:
+            c = b.column(0)
+            if not len(c):
+                continue
+            x = np.asarray(c.flatten(), dtype=np.float64).reshape(len(c), -1)
+            one = np.hstack([x, np.ones((len(x), 1))])
+            total = one.T @ one if total is None else total + one.T @ one
+        if total is not None:
+            i, j = np.divmod(np.arange(total.size), total.shape[0])
+            yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel()),
+                                   pa.array(np.full(total.size, total.shape[0] - 1, np.int32))], names=["i", "j", "s", "d"])
+
+    rows = df.where(F.col(col).isNotNull()).select(F.transform(F.col(col), lambda x: x.cast("double")).alias("x"))
+    sums = rows.mapInArrow(outer, "i int, j int, s double, d int").groupBy("i", "j", "d").agg(F.sum("s").alias("s"))
+    n = sums.where("i = d AND j = d").select(F.col("s").alias("n"))  # one row
+    means = sums.where("j = d AND i < d").select("i", F.col("s").alias("t"))
+    left, right = means.withColumnsRenamed({"t": "ti"}), means.withColumnsRenamed({"i": "j", "t": "tj"})
+    return (sums.where("i < d AND j < d").join(left, "i").join(right, "j").join(F.broadcast(n))
+            .select("i", "j", (F.col("ti") / F.col("n")).alias("mean_i"),
+                    ((F.col("s") - F.col("ti") * F.col("tj") / F.col("n")) / (F.col("n") - 1)).alias("cov")))
+
+
 def pca(df: DataFrame, col: str, k: int) -> DataFrame:
-    """Project array features to k principal components (MLlib PCA; signs are arbitrary)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Project an array column to its k principal components, centred; components by falling variance.
 
-    v = df.withColumn("_v", array_to_vector(F.col(col)))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    return model.transform(v).withColumn(f"{col}_pca", vector_to_array("_p")).drop("_v", "_p")
+    Sign rule: the entry of a component that is largest in size is positive (the first of equal ones). Only the
+    d x d covariance reaches the driver; the projection is distributed.
+    """
+    cells = covariance(df, col).collect()  # d² numbers
+    d = max((r["i"] for r in cells), default=-1) + 1
+    if not 0 < k <= max(d, 1):
+        raise ValueError(f"{k} components of {d} dimensions")
+    mean, cov = np.zeros(d), np.zeros((d, d))
+    for r in cells:
+        mean[r["i"]], cov[r["i"], r["j"]] = r["mean_i"], r["cov"]
+    _, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    axes = vectors[:, ::-1][:, :k]
+    axes = axes * np.where(axes[np.abs(axes).round(12).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    out = f"{col}_pca"
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
+
+    def project(batches):
+        for b in batches:
+            c = b.column(b.schema.get_field_index(col))
+            filled = c.drop_null()
+            x = np.asarray(filled.flatten(), dtype=np.float64).reshape(len(filled), -1) if len(filled) else np.zeros((0, d))
+            y = (x - mean) @ axes if len(x) else np.zeros((0, k))
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(c.is_valid()))]).astype(np.int32) * k
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(np.asarray(c.is_null()), False)), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out])
+    return df.mapInArrow(project, schema)

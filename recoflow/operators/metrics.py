@@ -11,15 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols, require
+from recoflow.operators.clean import check_inputs
 from recoflow.operators.ordering import total_before
 
 # ------------------------------------------------------------------ rating metrics
 
 
-def rating_pairs(truth: DataFrame, pred: DataFrame, cols: Cols = DEFAULT) -> DataFrame:
-    """(user, item, label, prediction) for pairs present in both frames."""
-    require(truth, cols.user, cols.item, cols.rating, what="rating_true")
-    require(pred, cols.user, cols.item, cols.prediction, what="rating_pred")
+def rating_pairs(truth: DataFrame, pred: DataFrame, cols: Cols = DEFAULT, strict: bool = False) -> DataFrame:
+    """(user, item, label, prediction) for pairs present in both frames.
+
+    With ``strict`` empty frames and wrong types raise now (``clean.check_inputs``), not later as empty metrics.
+    """
+    require(truth, cols.user, cols.item, cols.rating, what="truth")
+    require(pred, cols.user, cols.item, cols.prediction, what="prediction")
+    if strict:
+        check_inputs(truth, pred, cols)
     t = truth.select(cols.user, cols.item, F.col(cols.rating).cast("double").alias("label"))
     p = pred.select(cols.user, cols.item, F.col(cols.prediction).cast("double").alias("prediction"))
     return t.join(p, [cols.user, cols.item])

@@ -167,18 +167,25 @@ _BLOCK = 4096
 
 
 def total_before(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """``out``: sum of ``value`` over the rows before each row in ``order`` (a unique key).
+    """``out``: sum of ``value`` over the rows before each row in ``order`` (a unique key)."""
+    return totals_before(df, order, {value: out})
+
+
+def totals_before(df: DataFrame, order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """For every (value, out): ``out`` is the sum of ``value`` over the rows before each row in ``order`` (a unique key).
 
     Rows are ranked, summed in blocks of consecutive ranks, and the block totals
     (one row per 4,096) are prefixed; no window spans the table.
     """
     ranked = global_rank(df, list(order), rank_col="_tr").withColumn("_tb", F.floor((F.col("_tr") - 1) / _BLOCK))
-    totals = ranked.groupBy("_tb").agg(F.sum(value).alias("_tv"))
-    before = F.sum("_tv").over(Window.orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("_tb", F.coalesce(before, F.lit(0)).alias("_ts"))
-    inside = F.sum(value).over(Window.partitionBy("_tb").orderBy("_tr").rowsBetween(Window.unboundedPreceding, -1))
-    return (ranked.withColumn("_ti", F.coalesce(inside, F.lit(0))).join(starts, "_tb")
-            .withColumn(out, F.col("_ts") + F.col("_ti")).drop("_tr", "_tb", "_ts", "_ti"))
+    names = list(enumerate(sums.items()))
+    totals = ranked.groupBy("_tb").agg(*(F.sum(v).alias(f"_tv{i}") for i, (v, _) in names))
+    before = Window.orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_tb", *(F.coalesce(F.sum(f"_tv{i}").over(before), F.lit(0)).alias(f"_ts{i}") for i, _ in names))
+    inside = Window.partitionBy("_tb").orderBy("_tr").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranked.withColumns({f"_ti{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, (v, _) in names})
+    placed = within.join(starts, "_tb").withColumns({out: F.col(f"_ts{i}") + F.col(f"_ti{i}") for i, (_, out) in names})
+    return placed.drop("_tr", "_tb", *(f"_{t}{i}" for i, _ in names for t in ("ts", "ti")))
 
 
 def median_row(df: DataFrame, value: str) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols
+from recoflow.operators.ordering import global_rank, number_digits, rank_within
 from recoflow.operators.pairs import item_pair_counts
 from recoflow.operators.topk import topk_items
+from recoflow.session import ensure_checkpoint_dir
 
 COOCCUR, JACCARD, LIFT = "cooccurrence", "jaccard", "lift"
 
@@ -121,15 +123,56 @@ def score_normalized(train: DataFrame, sim: DataFrame, cols: Cols = DEFAULT,
     return both.join(per_user, cols.user).select(cols.user, cols.item, scaled.alias("score"))
 
 
+def least_free(needs: DataFrame, taken: DataFrame, catalogue: DataFrame, cols: Cols = DEFAULT) -> DataFrame:
+    """(user, item): the first ``_need`` catalogue items, by id, that are not among the user's ``taken`` ones.
+
+    needs: (user, _need); taken: (user, item); catalogue: (item). Gap search: the item at catalogue position p that is
+    the user's j-th taken one has p - j free items before it, so the t-th free item stands at t plus the number of taken
+    items with fewer than t free ones before them. Only counts per (user, gap) below the need are kept,
+    at most ``_need`` a user; users x items is never built.
+    """
+    placed = global_rank(catalogue.select(cols.item).distinct(), [cols.item], rank_col="_p", total_col="_m")
+    held = (taken.select(cols.user, cols.item).distinct().join(needs, cols.user)
+            .join(placed.select(cols.item, "_p"), cols.item))
+    ranked = rank_within(held, [cols.user], ["_p"], number_digits(held, "_p"), rank_col="_j", count_col="_c")
+    gaps = (ranked.withColumn("_g", F.col("_p") - F.col("_j")).where(F.col("_g") < F.col("_need"))
+            .groupBy(cols.user, "_g").agg(F.count(F.lit(1)).alias("_n")))
+    told = gaps.groupBy(cols.user).agg(F.collect_list(F.struct("_g", "_n")).alias("_gs"))  # at most _need entries
+    wanted = needs.join(told, cols.user, "left").select(cols.user, "_gs", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_need").cast("bigint"))).alias("_t"))
+    passed = F.aggregate(F.filter(F.coalesce("_gs", F.array().cast("array<struct<_g:bigint,_n:bigint>>")), lambda x: x["_g"] < F.col("_t")),
+                         F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"])
+    return (wanted.select(cols.user, (F.col("_t") + passed).alias("_p")).join(placed.select(cols.item, "_p"), "_p")
+            .select(cols.user, cols.item))
+
+
 def recommend(train: DataFrame, sim: DataFrame, k: int = 10, remove_seen: bool = True,
-              cols: Cols = DEFAULT, half_life: float | None = None, digits: int = 6) -> DataFrame:
-    """Top-k items per user by SAR score (rounded to ``digits`` for stable ties, then item)."""
+              cols: Cols = DEFAULT, half_life: float | None = None, digits: int = 6, fill_zero: bool = False) -> DataFrame:
+    """Top-k items per user by SAR score (rounded to ``digits`` for stable ties, then item).
+
+    Items that share no user with any of a user's have score 0 and are left out; with ``fill_zero`` a
+    user with fewer than k scored items gets the least ids among these others, at score 0, so everyone has k
+    (or all unseen items of a smaller catalogue).
+    """
     aff = affinity(train, cols, half_life)
+    seen = aff.select(cols.user, cols.item)
     s = score(aff, sim, cols)
     if remove_seen:
-        s = s.join(aff.select(cols.user, cols.item), [cols.user, cols.item], "left_anti")
+        s = s.join(seen, [cols.user, cols.item], "left_anti")
     s = s.withColumn(cols.prediction, F.round("score", digits)).drop("score")
-    return topk_items(s, k, cols, score=cols.prediction)
+    top = topk_items(s, k, cols, score=cols.prediction)
+    if not fill_zero:
+        return top
+    ensure_checkpoint_dir(train.sparkSession)
+    top = top.checkpoint(eager=True)  # at most k rows a user, read three times
+    have = top.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_h"))
+    needs = (seen.select(cols.user).distinct().join(have, cols.user, "left")
+             .select(cols.user, (F.lit(k) - F.coalesce("_h", F.lit(0))).alias("_need")).where("_need > 0"))
+    needs = needs.checkpoint(eager=True)
+    # a short user's scored items all are in its list, so seen and listed ones are what is taken
+    short = top.select(cols.user, cols.item)
+    taken = short.unionByName(seen) if remove_seen else short
+    zero = least_free(needs, taken.join(needs.select(cols.user), cols.user, "left_semi"), train.select(cols.item), cols)
+    return top.unionByName(zero.withColumn(cols.prediction, F.lit(0.0)).select(top.columns))
 
 
 def item_based_topk(seeds: DataFrame, sim: DataFrame, k: int = 10, cols: Cols = DEFAULT,

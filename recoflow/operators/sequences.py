@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols
 from recoflow.functions.arrays import pad_left, pad_right, mask_for
-from recoflow.operators.ordering import count_before
+from recoflow.operators.ordering import count_before, number_digits, rank_within, time_digits
+from recoflow.session import ensure_checkpoint_dir
 
 DAY = 86400.0
 
@@ -22,27 +26,74 @@ def build_instances(events: DataFrame, item_cate: DataFrame, default_cat: str =
     return out
 
 
+HISTORY_BLOCK = 256  # events of a user whose histories one task builds
+
+
+def _order_digits(df: DataFrame, order: list[str], bucket_seconds: int = 86400) -> list[Column]:
+    """Digits of the sort key for cutting a busy user: the first column's time, then whole numbers while they come."""
+    out = time_digits(order[0], bucket_seconds) if number_digits(df, order[0]) else []
+    for c in order[1:] if out else []:
+        more = number_digits(df, c)
+        if not more:
+            break
+        out += more
+    return out or [F.lit(0)]
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join on ``on`` where null equals null; the right side's keys are dropped."""
+    side = {c: f"_n_{i}" for i, c in enumerate(on)}
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(o)) for c, o in side.items()))
+    return left.join(right.withColumnsRenamed(side), same, how).drop(*side.values())
+
+
 def expand_history(inst: DataFrame, order: list[str], cols: Cols = DEFAULT, cate: str = "cate",
-                   min_sequence: int = 1) -> DataFrame:
+                   min_sequence: int = 1, wanted: DataFrame | None = None, block: int = HISTORY_BLOCK) -> DataFrame:
     """Each event gets the arrays of the user's earlier *positive* events (item, category, time).
 
-    Rows with fewer than ``min_sequence`` earlier positives are dropped."""
-    w = Window.partitionBy(cols.user).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    hist = F.collect_list(F.when(F.col(cols.label) == 1,
-                                 F.struct(F.col(cols.item).alias("i"), F.col(cate).alias("c"),
-                                          F.col(cols.timestamp).alias("t")))).over(w)
-    out = (inst.withColumn("_h", hist)
+    Rows with fewer than ``min_sequence`` earlier positives are dropped. (user, *order) must name an event.
+    ``wanted``, some of the events (at least its user and order columns are read), limits the output to them.
+
+    A user's events are ranked and cut into blocks of ``block``. The positives of a block are collected
+    once and sent to the user's later blocks that are wanted; there they are joined to a prefix, and an
+    event's history is its block's prefix and what precedes it inside the block. So the events of a
+    busy user are spread over tasks, and nothing but the histories themselves grows with their square.
+    """
+    ensure_checkpoint_dir(inst.sparkSession)
+    key = [cols.user, *[c for c in order if c != cols.user]]
+    ranked = (rank_within(inst, [cols.user], order, _order_digits(inst, order), rank_col="_p", count_col="_c").drop("_c")
+              .withColumn("_k", F.floor((F.col("_p") - 1) / block))
+              .withColumn("_e", F.when(F.col(cols.label) == 1, F.struct(F.col(cols.item).alias("i"), F.col(cate).alias("c"),
+                                                                       F.col(cols.timestamp).alias("t")))))
+    ranked = ranked.checkpoint(eager=True)  # read three times
+    inside = Window.partitionBy(cols.user, "_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    events = ranked.withColumn("_in", F.collect_list("_e").over(inside)).drop("_e")
+    if wanted is not None:
+        events = _null_safe(events, wanted.select(*key), key, "left_semi")
+    held = (ranked.where(F.col("_e").isNotNull()).groupBy(cols.user, "_k")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_e"))), lambda x: x["_e"]).alias("_a")))
+    last = ranked.groupBy(cols.user).agg(F.max("_k").alias("_last"))
+    sent = (_null_safe(held, last, [cols.user], "inner").where("_k < _last")
+            .select(cols.user, F.explode(F.sequence(F.col("_k") + 1, F.col("_last"))).alias("_to"), "_k", "_a"))
+    if wanted is not None:
+        blocks = events.select(cols.user, F.col("_k").alias("_to")).distinct()
+        sent = _null_safe(sent, blocks, [cols.user, "_to"], "left_semi")
+    prefix = (sent.groupBy(cols.user, "_to")
+              .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_a"))), lambda x: x["_a"])).alias("_before"))
+              .withColumnRenamed("_to", "_k"))
+    h = F.when(F.col("_before").isNull(), F.col("_in")).otherwise(F.concat("_before", "_in"))
+    out = (_null_safe(events, prefix, [cols.user, "_k"], "left").withColumn("_h", h)
            .withColumn("item_history", F.transform("_h", lambda x: x["i"]))
            .withColumn("cate_history", F.transform("_h", lambda x: x["c"]))
-           .withColumn("time_history", F.transform("_h", lambda x: x["t"])).drop("_h"))
+           .withColumn("time_history", F.transform("_h", lambda x: x["t"])).drop("_h", "_in", "_before", "_p", "_k"))
     return out.where(F.size("item_history") >= min_sequence)
 
 
 def history_length(inst: DataFrame, order: list[str], cols: Cols = DEFAULT, out: str = "n_history",
                    bucket_seconds: int = 86400) -> DataFrame:
     """Adds how many positive events of the user come before each event; no array is built."""
-    day = F.floor(F.col(cols.timestamp) / bucket_seconds)
-    return count_before(inst, [cols.user], order, day, F.col(cols.label) == 1, out)
+    digits = _order_digits(inst, order, bucket_seconds)
+    return count_before(inst, [cols.user], order, digits, F.col(cols.label) == 1, out)
 
 
 def bounded_history(inst: DataFrame, order: list[str], n: int, keep: str = "last", cols: Cols = DEFAULT,
@@ -64,12 +115,17 @@ def bounded_history(inst: DataFrame, order: list[str], n: int, keep: str = "last
     return counted.drop("_p").join(got, key, "left" if min_sequence < 1 else "inner")
 
 
-def last_history(hist: DataFrame, split_col: str, order: list[str], cols: Cols = DEFAULT,
+def last_history(events: DataFrame, split_col: str, order: list[str], cols: Cols = DEFAULT,
                  train_value: int = 0) -> DataFrame:
-    """Train split: only each user's last instance; other splits: every instance."""
-    w = Window.partitionBy(cols.user, split_col).orderBy(*[F.col(c).desc() for c in order])
-    ranked = hist.withColumn("_r", F.when(F.col(split_col) == train_value, F.row_number().over(w)).otherwise(1))
-    return ranked.where(F.col("_r") == 1).drop("_r")
+    """Train split: only each user's last event; other splits: every event.
+
+    Picked by a partial aggregate; done before histories are built, whole histories of one event a user are
+    all that is built for the train split (``expand_history`` with ``wanted``).
+    """
+    train = F.col(split_col) == train_value
+    last = (events.where(train).groupBy(cols.user).agg(F.max_by(F.struct(*events.columns), F.struct(*order)).alias("_r"))
+            .select("_r.*"))
+    return events.where(~train | F.col(split_col).isNull()).unionByName(last)
 
 
 def _lnd(x: Column) -> Column:

@@ -195,7 +195,31 @@ def q_popularity_item_sample(spark, sf):
     return cd.popularity_item_sample(train.select("user_id", "item_id"), 0.3, seed=42)
 
 
-@register("popularity_negatives", None)
+# The alias table once more, by plain windows and inequality joins, and the first four different of 64 draws.
+_ALIAS = (
+    ("cnt", "SELECT item_id, count(*) AS c FROM train GROUP BY item_id"),
+    ("tot", "SELECT count(*) AS n, CAST(sum(c) AS HUGEINT) AS t FROM cnt"),
+    ("weight", "SELECT item_id, c * n - t AS w FROM cnt, tot"),
+    ("rare", "SELECT item_id, -w AS d, sum(-w) OVER (ORDER BY item_id) + w AS before, row_number() OVER (ORDER BY item_id) - 1 AS i FROM weight WHERE w < 0"),
+    ("often", "SELECT item_id, sum(w) OVER (ORDER BY item_id) AS upto, row_number() OVER (ORDER BY item_id) - 1 AS j FROM weight WHERE w >= 0"),
+    ("low", "SELECT r.i AS slot, r.item_id AS own, t - r.d AS cut, o.item_id AS alias FROM (SELECT r.i, min(o.j) AS j FROM rare r "
+            "JOIN often o ON o.upto >= r.before GROUP BY r.i) g JOIN rare r ON r.i = g.i JOIN often o ON o.j = g.j, tot"),
+    ("outrun", "SELECT o.j, min(r.before + r.d) AS stop FROM often o JOIN rare r ON r.before + r.d > o.upto GROUP BY o.j"),
+    ("high", "SELECT (SELECT count(*) FROM rare) + o.j AS slot, o.item_id AS own, CASE WHEN u.stop IS NULL OR x.item_id IS NULL THEN t ELSE t - (u.stop - o.upto) END AS cut, "
+             "coalesce(x.item_id, o.item_id) AS alias FROM often o LEFT JOIN outrun u ON u.j = o.j LEFT JOIN often x ON x.j = o.j + 1, tot"),
+    ("al", "SELECT * FROM low UNION ALL SELECT * FROM high"),
+    ("inst", "SELECT DISTINCT user_id, item_id FROM train"),
+    ("draws", f"SELECT user_id, item_id, j, {sql_hash_int(42, 'user_id', 'item_id', 'j')} % n AS slot, "
+              f"{sql_hash_int(43, 'user_id', 'item_id', 'j')} % CAST(t AS BIGINT) AS u FROM inst, range(64) g(j), tot"),
+    ("hits", "SELECT user_id, item_id, j, CASE WHEN u < cut THEN own ELSE alias END AS neg_item FROM draws JOIN al ON draws.slot = al.slot"),
+)
+
+
+@register("popularity_negatives", tv("""
+SELECT user_id, item_id, CAST(r - 1 AS INTEGER) AS slot, neg_item FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY j) AS r FROM (
+    SELECT user_id, item_id, neg_item, min(j) AS j FROM hits WHERE neg_item <> item_id GROUP BY user_id, item_id, neg_item))
+WHERE r <= 4""", *_ALIAS))
 def q_popularity_negatives(spark, sf):
     train, _ = train_test(spark, sf)
     return cd.popularity_negatives(train.select("user_id", "item_id"), 4, seed=42)

@@ -191,6 +191,18 @@ def q_metric_suite(spark, sf):
     return row.select("data", "algo", "k", *[rnd(c).alias(c) for c in row.columns[3:]])
 
 
+def _write_results_sql():
+    from recoflow.sources.writers import RESULT_HEADS
+    return f'SELECT 1 AS "_c0", {", ".join(f"{c} AS {chr(34)}{head}{chr(34)}" for c, head in RESULT_HEADS.items())} FROM ({_SUITE_SQL})'
+
+
+@register("write_results", _write_results_sql())
+def q_write_results(spark, sf):
+    from recoflow.sources import writers as wr
+    path = wr.write_results(q_metric_suite(spark, sf), wr.scratch_path(spark, "experiment"), "100k")
+    return wr.read_results(spark, path)
+
+
 @register("experiment_results", None)
 def q_experiment_results(spark, sf):
     """All recommenders of the experiment scored by the suite, written as a results table and read back."""

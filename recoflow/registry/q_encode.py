@@ -228,7 +228,33 @@ def q_metrics_long(spark, sf):
     return en.metrics_long(wide, ["stage"]).withColumn("value", rnd("value"))
 
 
+_AS_DOUBLE = ("vd", "SELECT item_id, CAST(features AS DOUBLE[]) AS f FROM vectors")
+
+
 @register("reduce_dims", None)
 def q_reduce_dims(spark, sf):
-    v = fx.vectors(T(spark, sf)).withColumn("features", F.transform("features", lambda x: x.cast("double")))
-    return en.pca(v, "features", 8).select("item_id", "features_pca")
+    return en.pca(fx.vectors(T(spark, sf)), "features", 8).select("item_id", "features_pca")
+
+
+@register("reduce_dims_covariance", with_views("""
+SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(avg(a.x), 9) AS mean_i, round(covar_samp(a.x, b.x), 9) AS cov
+FROM cells a JOIN cells b ON a.item_id = b.item_id GROUP BY a.i, b.i""", _AS_DOUBLE,
+    ("cells", "SELECT item_id, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM vd")))
+def q_reduce_dims_covariance(spark, sf):
+    c = en.covariance(fx.vectors(T(spark, sf)), "features")
+    return c.select("i", "j", F.round("mean_i", 9).alias("mean_i"), F.round("cov", 9).alias("cov"))
+
+
+# All components: lengths of centred vectors and their angles to the first vector must survive the projection.
+@register("reduce_dims_isometry", with_views("""
+SELECT c.item_id, round(list_sum(list_transform(c.y, lambda x: x * x)), 6) AS norm2,
+       round(list_sum(list_transform(list_zip(c.y, f.y), lambda x: x[1] * x[2])), 6) AS with_first
+FROM centred c, (SELECT y FROM centred ORDER BY item_id LIMIT 1) f""", _AS_DOUBLE,
+    ("means", "SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS i FROM vd) GROUP BY i)"),
+    ("centred", "SELECT item_id, list_transform(list_zip(f, m), lambda x: x[1] - x[2]) AS y FROM vd, means")))
+def q_reduce_dims_isometry(spark, sf):
+    from recoflow.functions.arrays import dot
+    v = fx.vectors(T(spark, sf))
+    p = en.pca(v, "features", 64).select("item_id", F.col("features_pca").alias("y"))
+    first = p.orderBy("item_id").limit(1).select(F.col("y").alias("f"))
+    return p.join(F.broadcast(first)).select("item_id", rnd(dot("y", "y")).alias("norm2"), rnd(dot("y", "f")).alias("with_first"))

@@ -60,6 +60,31 @@ def q_als_blended(spark, sf):
     return fa.als_recommend(model, train, K)
 
 
+# Whatever the factors are: k unseen items of the train catalogue for every user (or all there are), best first, scores finite.
+_ALS_SHAPE = tv(f"""
+SELECT user_id, least({K}, m.n_items - count(*)) AS n_rows, least({K}, m.n_items - count(*)) AS n_items, 0 AS n_seen, 0 AS n_unknown, 0 AS n_bad
+FROM (SELECT DISTINCT user_id, item_id FROM train) t, (SELECT count(DISTINCT item_id) AS n_items FROM train) m GROUP BY user_id, m.n_items""")
+
+
+def _als_shape(reco, train):
+    seen = train.select("user_id", "item_id").distinct().withColumn("_s", F.lit(1))
+    known = train.select("item_id").distinct().withColumn("_k", F.lit(1))
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("bigint")
+    return (reco.join(seen, ["user_id", "item_id"], "left").join(known, "item_id", "left").groupBy("user_id")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("item_id").alias("n_items"), count(F.col("_s").isNotNull()).alias("n_seen"),
+                 count(F.col("_k").isNull()).alias("n_unknown"), count(F.col("prediction").isNull() | F.isnan("prediction")).alias("n_bad")))
+
+
+@register("als_recommend_shape", _ALS_SHAPE)
+def q_als_recommend_shape(spark, sf):
+    return _als_shape(q_als_recommend(spark, sf), train_test(spark, sf)[0])
+
+
+@register("als_blended_shape", _ALS_SHAPE)
+def q_als_blended_shape(spark, sf):
+    return _als_shape(q_als_blended(spark, sf), train_test(spark, sf)[0])
+
+
 @register("shift_scores", tv(
     "SELECT user_id, item_id, round(prediction + (SELECT avg(prediction) FROM unseen), 6) AS prediction, "
     "row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), "
@@ -138,6 +163,20 @@ def q_embedding_similar(spark, sf):
     return fa.embedding_similar(v, first_id, 10).withColumn("similarity", rnd("similarity"))
 
 
+_NB = f"""SELECT a.item_id, b.item_id AS similar_id, {DOT.format(a='a.u', b='b.u')} AS similarity
+  FROM units a JOIN units b ON a.item_id <> b.item_id"""
+
+
+@register("embedding_neighbors", with_views(
+    "SELECT item_id, similar_id, round(similarity, 6) AS similarity, r AS rank FROM (SELECT *, row_number() OVER ("
+    f"PARTITION BY item_id ORDER BY round(similarity, 9) DESC, similar_id) AS r FROM ({_NB})) WHERE r <= {K}",
+    ("units", f"SELECT item_id, list_transform(f, lambda x: x / n) AS u FROM (SELECT item_id, f, {NORM.format(a='f')} AS n FROM "
+              "(SELECT item_id, CAST(features AS DOUBLE[]) AS f FROM vectors)) WHERE n > 0")))
+def q_embedding_neighbors(spark, sf):
+    from recoflow.operators.neighbors import embedding_neighbors
+    return embedding_neighbors(fx.vectors(T(spark, sf)), K).withColumn("similarity", rnd("similarity"))
+
+
 W = [[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]
 W_ITEMS = [[0.5, 0.0], [0.25, 1.0], [0.0, 2.0]]
 B = [[0.5, 0.25], [0.25, 4.0]]

@@ -113,6 +113,20 @@ def q_sar_recommend(spark, sf):
     return sar.recommend(tr, _sim(tr), K)
 
 
+# co-occurrence threshold 3 leaves many users with fewer than k scored items
+@register("sar_recommend_fill_zero", tv(f"""
+SELECT user_id, item_id, prediction FROM (
+  SELECT u.user_id, i.item_id, coalesce(round(s.score, 6), 0.0) AS prediction,
+         row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(round(s.score, 6), 0.0) DESC, s.score IS NULL, i.item_id) AS r
+  FROM (SELECT DISTINCT user_id FROM train) u CROSS JOIN (SELECT DISTINCT item_id FROM train) i
+  LEFT JOIN scores s ON s.user_id = u.user_id AND s.item_id = i.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = i.item_id))
+WHERE r <= {K}""", cooc_sql(3), DIAG, sim_sql("jaccard"), SSIM, SCORES))
+def q_sar_recommend_fill_zero(spark, sf):
+    tr = _train(spark, sf)
+    return sar.recommend(tr, _sim(tr, th=3), K, fill_zero=True)
+
+
 @register("sar_recommend_lift", tv(_RECO, cooc_sql(1), DIAG, sim_sql("lift"), SSIM, SCORES))
 def q_sar_recommend_lift(spark, sf):
     tr = _train(spark, sf)

@@ -54,9 +54,8 @@ def q_last_history(spark, sf):
     inst = _inst(spark, sf)
     # leave-last-two tags on the full event order (ts, imp_id, item_id)
     tagged = leave_last_two(inst, DEFAULT, order=ORDER)
-    h = sq.expand_history(tagged, ORDER)
-    return (sq.last_history(h, "split", ORDER)
-            .select("imp_id", "user_id", "item_id", "split", F.size("item_history").cast("bigint").alias("hist_len")))
+    h = sq.expand_history(tagged, ORDER, wanted=sq.last_history(tagged, "split", ORDER))
+    return (h.select("imp_id", "user_id", "item_id", "split", F.size("item_history").cast("bigint").alias("hist_len")))
 
 
 def _lnd_sql(x):

@@ -204,6 +204,39 @@ def q_write_sequences(spark, sf):
     return rd.read_sequences(spark, path).select("label", "user_id", "item_id", "cate", "ts", "item_history")
 
 
+# words of the train impressions; an eighth of the users and parts and one category stay unlisted
+_SEQ_VOCAB = tuple((f"v_{name}", f"SELECT CAST(w AS VARCHAR) AS w, row_number() OVER (ORDER BY w) AS idx FROM (SELECT DISTINCT {col} AS w FROM {table}) "
+                                 f"WHERE {listed}") for name, col, table, listed in (
+    ("user", "user_id", "ratings", "w % 8 <> 0"), ("item", "item_id", "ratings", "w % 8 <> 3"), ("cate", "category", "items", "w < 'STANDARD'")))
+
+
+def _hist_ctes():
+    from recoflow.registry.q_sequences import HIST, INST
+    return INST, HIST
+
+
+@register("read_sequences", with_views("""
+SELECT h.label, CAST(h.user_id AS VARCHAR) AS user_id, CAST(h.item_id AS VARCHAR) AS item_id, h.cate, h.ts,
+       coalesce(u.idx, 0) AS user_idx, coalesce(i.idx, 0) AS item_idx, coalesce(c.idx, 0) AS cate_idx, l.item_history_idx, l.cate_history_idx
+FROM hist h LEFT JOIN v_user u ON u.w = CAST(h.user_id AS VARCHAR) LEFT JOIN v_item i ON i.w = CAST(h.item_id AS VARCHAR)
+LEFT JOIN v_cate c ON c.w = h.cate JOIN looked l ON l.imp_id = h.imp_id AND l.user_id = h.user_id AND l.item_id = h.item_id""",
+    *_hist_ctes(), *_SEQ_VOCAB,
+    ("places", "SELECT imp_id, user_id, item_id, unnest(item_history) AS x, unnest(cate_history) AS y, generate_subscripts(item_history, 1) AS p FROM hist"),
+    ("looked", "SELECT s.imp_id, s.user_id, s.item_id, list(coalesce(v.idx, 0) ORDER BY p) AS item_history_idx, "
+               "list(coalesce(c.idx, 0) ORDER BY p) AS cate_history_idx FROM places s LEFT JOIN v_item v ON v.w = CAST(s.x AS VARCHAR) "
+               "LEFT JOIN v_cate c ON c.w = s.y GROUP BY s.imp_id, s.user_id, s.item_id")))
+def q_read_sequences(spark, sf):
+    from recoflow.operators.encode import index_ids
+    from recoflow.registry.q_sequences import _hist
+    t = T(spark, sf)
+    r = fx.ratings(t)
+    users = index_ids(r.where("user_id % 8 <> 0"), "user_id", "idx", start=1)
+    items = index_ids(r.where("item_id % 8 <> 3"), "item_id", "idx", start=1)
+    cates = index_ids(fx.items(t).where("category < 'STANDARD'"), "category", "idx", start=1)
+    path = wr.write_lines(wr.sequence_lines(_hist(spark, sf)), wr.scratch_path(spark, "seq"))
+    return rd.read_sequences(spark, path, users, items, cates).drop("item_history", "cate_history", "time_history")
+
+
 def _write_reco_sql():
     from recoflow.registry import q_neighbors as n
     return n.tv(n._RECO, n.cooc_sql(1), n.DIAG, n.sim_sql("jaccard"), n.SSIM, n.SCORES)

@@ -122,26 +122,62 @@ def read_embeddings(spark: SparkSession, path: str, sep: str = " ") -> DataFrame
                       F.transform(F.slice("t", 2, F.size("t")), lambda x: x.cast("float")).alias("vector"))
 
 
-SEQUENCE_SCHEMA = ("label int, user_id string, item_id string, cate string, ts long, item_history string, "
-                   "cate_history string, time_history string")
-
-
-def read_sequences(spark: SparkSession, path: str, item_vocab: DataFrame | None = None) -> DataFrame:
-    """8-column TSV instances → typed arrays; with a vocabulary, unknown items map to 0."""
-    df = spark.read.csv(path, schema=SEQUENCE_SCHEMA, sep="\t", header=False)
-    df = (df.withColumn("item_history", F.split("item_history", ","))
-          .withColumn("cate_history", F.split("cate_history", ","))
-          .withColumn("time_history", F.transform(F.split("time_history", ","), lambda x: x.cast("long"))))
-    if item_vocab is None:
-        return df
-    # vocabulary lookup by explode + join + ordered re-collect (bounded by the history length)
-    e = df.withColumn("_rid", F.monotonically_increasing_id())
-    ex = e.select("_rid", F.posexplode("item_history").alias("_p", "_v"))
-    v = item_vocab.select(F.col(item_vocab.columns[0]).alias("_v"), F.col(item_vocab.columns[1]).alias("_ix"))
-    mapped = (ex.join(v, "_v", "left").groupBy("_rid")
-              .agg(F.sort_array(F.collect_list(F.struct("_p", F.coalesce("_ix", F.lit(0)).alias("_ix")))).alias("_l")))
-    return (e.join(mapped, "_rid", "left")
-            .withColumn("item_history_idx", F.transform("_l", lambda x: x["_ix"])).drop("_rid", "_l"))
+def read_sequences(spark: SparkSession, path: str, users: DataFrame | None = None, items: DataFrame | None = None,
+                   cates: DataFrame | None = None) -> DataFrame:
+    """8-column TSV instances → typed arrays.
+
+    With vocabularies (word, index) the columns ``user_idx``, ``item_idx``, ``cate_idx``, ``item_history_idx`` and
+    ``cate_history_idx`` are added; a word that is not listed is 0.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    vocabularies = {"user": users, "item": items, "cate": cates}
+    given = {k: v for k, v in vocabularies.items() if v is not None}
+    f = F.split("value", "\t", -1)
+    typed = [F.get(f, F.lit(0)).cast("int").alias("label"), F.get(f, F.lit(1)).alias("user_id"), F.get(f, F.lit(2)).alias("item_id"),
+             F.get(f, F.lit(3)).alias("cate"), F.get(f, F.lit(4)).cast("long").alias("ts"),
+             F.split(F.get(f, F.lit(5)), ",").alias("item_history"), F.split(F.get(f, F.lit(6)), ",").alias("cate_history"),
+             F.when(F.get(f, F.lit(7)) != "", F.transform(F.split(F.get(f, F.lit(7)), ","), lambda x: x.cast("long"))).alias("time_history")]
+    if not given:
+        return lines.select(*typed)
+    # equal lines have equal words: each is looked up once, under a hash of its content
+    distinct = lines.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).select(F.md5("value").alias("_line"), "_n", *typed)
+    fields = [(name, kind, column) for name, kind, column in (
+        ("user_idx", "user", F.array("user_id")), ("item_idx", "item", F.array("item_id")), ("cate_idx", "cate", F.array("cate")),
+        ("item_history_idx", "item", F.col("item_history")), ("cate_history_idx", "cate", F.col("cate_history"))) if kind in given]
+
+    def placed(name, kind, column):
+        return F.transform(column, lambda w, i: F.struct(F.lit(name).alias("field"), i.alias("at"), F.lit(kind).alias("kind"), w.alias("word")))
+    places = [placed(*f) for f in fields]
+    words = distinct.select("_line", F.explode(F.flatten(F.array(*places))).alias("_p")).select("_line", "_p.*")
+    listed = None
+    for kind, v in given.items():
+        one = v.select(F.lit(kind).alias("kind"), F.col(v.columns[0]).cast("string").alias("word"), F.col(v.columns[1]).cast("bigint").alias("idx"))
+        listed = one if listed is None else listed.unionByName(one)
+    found = (vocabulary_lookup(words, listed, ["kind", "word"], "idx")
+             .groupBy("_line").agg(F.sort_array(F.collect_list(F.struct("field", "at", F.coalesce("idx", F.lit(0)).alias("idx")))).alias("_f")))
+
+    def indexes(name):
+        return F.transform(F.filter("_f", lambda x: x["field"] == name), lambda x: x["idx"]).alias(name)
+    added = [indexes(name) if name.endswith("history_idx") else F.get(indexes(name), F.lit(0)).alias(name) for name, _, _ in fields]
+    out = distinct.join(found, "_line").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    return out.select("label", "user_id", "item_id", "cate", "ts", "item_history", "cate_history", "time_history", *added)
+
+
+def vocabulary_lookup(words: DataFrame, vocabulary: DataFrame, on: list[str], value: str, heavy: int = 1024) -> DataFrame:
+    """``words`` with ``value`` of the vocabulary (null: not listed), whatever a word's share of the rows.
+
+    Heavy hitters, words with more than a ``heavy``-th of all rows (so fewer than ``heavy`` words, by a partial
+    count), meet their few vocabulary rows by broadcast, without moving; the other words are shuffled.
+    """
+    counts = words.groupBy(*on).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_all"))
+    hot = counts.join(F.broadcast(total)).where(F.col("_c") * heavy > F.col("_all")).select(*on)
+    # fewer than ``heavy`` rows by construction
+    hot_rows = F.broadcast(hot.join(vocabulary, on, "left").withColumn("_hot", F.lit(True)))
+    marked = words.join(hot_rows, on, "left")
+    stay = marked.where("_hot").drop("_hot")
+    move = marked.where("_hot IS NULL").drop("_hot", value).join(vocabulary, on, "left")
+    return stay.select(*words.columns, value).unionByName(move.select(*words.columns, value))
 
 
 ENTITY_SCHEMA = "array<struct<SurfaceForms:array<string>,WikidataId:string>>"

@@ -6,9 +6,10 @@ from the physical row order. Nothing is coalesced to one file.
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recoflow.operators.encode import ordinal_table
@@ -122,3 +123,36 @@ def user_history_lines(train: DataFrame, valid: DataFrame, history: str = "histo
     def part(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(F.concat(F.lit(prefix), F.col("user_id").cast("string"), F.lit(" "), F.concat_ws(",", history)).alias("value"))
     return part(train, "train_").unionByName(part(valid, "valid_"))
+
+
+#: Heads of the experiment's table (fixed values), after the running number of the row.
+RESULT_HEADS = {
+    "data": "Data", "algo": "Algo", "k": "K", "precision_at_k": "Precision@k", "recall_at_k": "Recall@k", "ndcg_at_k": "NDCG@k",
+    "map_at_k": "Mean average precision", "catalog_coverage": "catalog_coverage", "distributional_coverage": "distributional_coverage",
+    "novelty": "novelty", "diversity": "diversity", "serendipity": "serendipity",
+}
+
+
+def write_results(results: DataFrame, folder: str, data_size: str) -> str:
+    """The experiment's table (one row a recommender, ``plans.suite``) as CSV with heads, under ``results<data size>.csv``.
+
+    Rows are numbered from 1 in the order of algorithm and k; the table of an earlier run of that size is replaced. Returns the path.
+    """
+    if not re.fullmatch(r"[0-9A-Za-z._-]+", data_size):
+        raise ValueError(f"a data size names a file, {data_size!r} does not")
+    missing = [c for c in RESULT_HEADS if c not in results.columns]
+    if missing:
+        raise ValueError(f"the results lack {', '.join(missing)}")
+    # a row for every recommender and k of one experiment: a window over all of them is small
+    number = F.row_number().over(Window.orderBy("algo", "k"))
+    path = f"{folder.rstrip('/')}/results{data_size}.csv"
+    (results.select(number.alias("_c0"), *(F.col(c).alias(head) for c, head in RESULT_HEADS.items()))
+     .write.mode("overwrite").csv(path, header=True))
+    return path
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The table as ``write_results`` left it, typed, with its row numbers."""
+    kinds = {"data": "string", "algo": "string", "k": "int"}
+    schema = ", ".join(["`_c0` int", *(f"`{head}` {kinds.get(c, 'double')}" for c, head in RESULT_HEADS.items())])
+    return spark.read.csv(path, header=True, schema=schema)
