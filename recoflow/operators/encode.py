@@ -159,9 +159,8 @@ def target_encode_online(df: DataFrame, col: str, label: str, order: str, bucket
 
 def target_encode_frozen(df: DataFrame, train: DataFrame, col: str, label: str) -> DataFrame:
     """Transform with train totals: mean label and count/n_train; unseen → 0."""
-    n = train.count()
-    tot = train.groupBy(F.col(col).alias("_v")).agg((F.sum(label) / F.count(F.lit(1))).alias("_m"),
-                                                     (F.count(F.lit(1)) / F.lit(n)).alias("_c"))
+    per = train.groupBy(F.col(col).alias("_v")).agg((F.sum(label) / F.count(F.lit(1))).alias("_m"), F.count(F.lit(1)).alias("_k"))
+    tot = with_row(per, train.agg(F.count(F.lit(1)).alias("_n"))).select("_v", "_m", (F.col("_k") / F.col("_n")).alias("_c"))
     j = df.join(tot, df[col].eqNullSafe(tot["_v"]), "left")
     return (j.withColumn(f"{col}_t_mean", F.coalesce("_m", F.lit(0.0)))
             .withColumn(f"{col}_t_count", F.coalesce("_c", F.lit(0.0))).drop("_v", "_m", "_c"))

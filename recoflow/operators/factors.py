@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from recoflow.cols import DEFAULT, Cols
 from recoflow.functions.arrays import cosine, dot
 from recoflow.functions.hashing import hash_key
-from recoflow.operators.encode import blend_with_mean, index_ids
+from recoflow.operators.encode import blend_with_mean, index_ids, with_row
 from recoflow.operators.topk import topk_items
+from recoflow.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,9 @@ def als_recommend(fit: AlsFit, train: DataFrame, k: int = 10, cols: Cols = DEFAU
 
     MLlib's blocked top-n (``recommendForAllUsers``) is asked for k + s items,
     s = the 99th percentile of per-user seen counts; users with more seen items
-    than s that end up short are re-asked exactly with k + their seen count
-    (``recommendForUserSubset``). The result is exact.
+    than s that end up short are asked again (``recommendForUserSubset``) in classes of
+    their seen count, each up to twice the one before, with k + the class's largest count: so one
+    heavy user does not lengthen the lists of the others. The result is exact.
     """
     seen = train.select(cols.user, cols.item).distinct()
     n_seen = seen.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_ns"))
@@ -58,12 +60,18 @@ def als_recommend(fit: AlsFit, train: DataFrame, k: int = 10, cols: Cols = DEFAU
     have = top.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_h"))
     short = (n_seen.join(have, cols.user, "left").where((F.col("_ns") > s) &
                                                         (F.coalesce("_h", F.lit(0)) < k)))
-    n_more = short.agg(F.max("_ns")).first()[0]
-    if n_more:
-        users = short.join(fit.users, cols.user).select(F.col("_u").cast("int").alias("_u"))
-        again = _explode_recs(fit.model.recommendForUserSubset(users, min(k + int(n_more), n_items)), fit, cols)
-        again = topk_items(again.join(seen, [cols.user, cols.item], "left_anti"), k, cols)
-        top = top.join(short.select(cols.user), cols.user, "left_anti").unionByName(again)
+    short = short.withColumn("_class", F.ceil(F.log2("_ns")).cast("int"))
+    classes = [r["_class"] for r in short.select("_class").distinct().collect()]  # powers of two: some dozens at most
+    if classes:
+        ensure_checkpoint_dir(train.sparkSession)
+        short = short.select(cols.user, "_class").checkpoint()
+        more = None
+        for c in sorted(classes):
+            users = short.where(F.col("_class") == c).join(fit.users, cols.user).select(F.col("_u").cast("int").alias("_u"))
+            again = _explode_recs(fit.model.recommendForUserSubset(users, min(k + (1 << c), n_items)), fit, cols)
+            more = again if more is None else more.unionByName(again)
+        more = topk_items(more.join(seen, [cols.user, cols.item], "left_anti"), k, cols)
+        top = top.join(short.select(cols.user), cols.user, "left_anti").unionByName(more)
     return top
 
 
@@ -75,17 +83,18 @@ def combination_recommend(train: DataFrame, k: int = 10, weight: float = 0.4, po
 
 def shift_scores(scored: DataFrame, k: int = 10, seed: int = 42, cols: Cols = DEFAULT) -> DataFrame:
     """Scores + global mean score; the top-k list re-ordered at random (md5), rank 1..k."""
-    mean = scored.agg(F.avg(cols.prediction)).first()[0]
+    mean = scored.agg(F.avg(cols.prediction).alias("_mean"))
     top = topk_items(scored, k, cols)
     w = Window.partitionBy(cols.user).orderBy(hash_key(seed, cols.user, cols.item), cols.item)
-    return (top.withColumn(cols.prediction, F.col(cols.prediction) + F.lit(mean))
+    return (with_row(top, mean).withColumn(cols.prediction, F.col(cols.prediction) + F.col("_mean")).drop("_mean")
             .withColumn("rank", F.row_number().over(w).cast("bigint")))
 
 
 def combined_shift_rerank(scored: DataFrame, k: int = 10, cols: Cols = DEFAULT) -> DataFrame:
     """Scores + global mean, then the k best per user."""
-    mean = scored.agg(F.avg(cols.prediction)).first()[0]
-    return topk_items(scored.withColumn(cols.prediction, F.col(cols.prediction) + F.lit(mean)), k, cols)
+    mean = scored.agg(F.avg(cols.prediction).alias("_mean"))
+    shifted = with_row(scored, mean).withColumn(cols.prediction, F.col(cols.prediction) + F.col("_mean")).drop("_mean")
+    return topk_items(shifted, k, cols)
 
 
 def pair_combination_rerank(scored: DataFrame, top_n: int = 20, k: int = 10, seed: int = 42,
@@ -129,13 +138,16 @@ def dot_scores(rows: DataFrame, user_f: DataFrame, item_f: DataFrame, cols: Cols
 
 def group_softmax_scores(rows: DataFrame, user_f: DataFrame, item_f: DataFrame, group: str,
                          cols: Cols = DEFAULT, feature_col: str = "features") -> DataFrame:
-    """Cosine of source (user) and candidate vectors, softmax within each group."""
+    """Cosine of source (user) and candidate vectors, softmax within each group.
+
+    Cosines lie in [-1, 1], so they need no shift by the group's maximum; the group's sum is a partial aggregate.
+    """
     u = user_f.select(cols.user, F.col(feature_col).alias("_u"))
     i = item_f.select(cols.item, F.col(feature_col).alias("_i"))
     s = rows.join(u, cols.user).join(i, cols.item).withColumn("_c", cosine("_u", "_i")).drop("_u", "_i")
-    w = Window.partitionBy(group)
-    e = F.exp(F.col("_c") - F.max("_c").over(w))
-    return s.withColumn("_e", e).withColumn("score", F.col("_e") / F.sum("_e").over(w)).drop("_c", "_e")
+    whole = s.groupBy(F.col(group).alias("_g")).agg(F.sum(F.exp("_c")).alias("_sum"))
+    return (s.join(whole, F.col(group).eqNullSafe(F.col("_g"))).withColumn("score", F.exp("_c") / F.col("_sum"))
+            .drop("_c", "_g", "_sum"))
 
 
 def embedding_similar(vectors: DataFrame, query_id, n: int = 10, id_col: str = "item_id",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from recoflow.cols import DEFAULT, Cols, require
 from recoflow.operators.clean import check_inputs
-from recoflow.operators.ordering import total_before
+from recoflow.operators.ordering import number_digits, rank_within, total_before
+from recoflow.operators.topk import topk_items
 
 # ------------------------------------------------------------------ rating metrics
 
@@ -85,16 +86,15 @@ def accuracy_f1(df: DataFrame, label: str = "label", score: str = "score", thres
 
 def relevant_topk(pred: DataFrame, k: int, cols: Cols = DEFAULT) -> DataFrame:
     """(user, item, rank): k best items per user by prediction (ties by item)."""
-    w = Window.partitionBy(cols.user).orderBy(F.col(cols.prediction).desc(), F.col(cols.item))
-    return (pred.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(cols.user, cols.item, F.col("rank").cast("bigint").alias("rank")))
+    return topk_items(pred, k, cols, rank_col="rank").select(cols.user, cols.item, "rank")
 
 
 def relevant_by_threshold(pred: DataFrame, threshold: float, cols: Cols = DEFAULT) -> DataFrame:
-    """(user, item, rank): all items with prediction >= threshold, ranked."""
-    w = Window.partitionBy(cols.user).orderBy(F.col(cols.prediction).desc(), F.col(cols.item))
-    return (pred.where(F.col(cols.prediction) >= threshold)
-            .withColumn("rank", F.row_number().over(w).cast("bigint")).select(cols.user, cols.item, "rank"))
+    """(user, item, rank): all items with prediction >= threshold, ranked; a user with very many is cut by score."""
+    kept = pred.where(F.col(cols.prediction) >= threshold)
+    digits = [F.floor(-F.col(cols.prediction) * scale) for scale in (1, 1 << 10, 1 << 20)] + number_digits(kept, cols.item)
+    ranked = rank_within(kept, [cols.user], [F.col(cols.prediction).desc(), F.col(cols.item)], digits, rank_col="rank", count_col="_c")
+    return ranked.select(cols.user, cols.item, "rank")
 
 
 def relevant_by_timestamp(pred: DataFrame, k: int, cols: Cols = DEFAULT) -> DataFrame:

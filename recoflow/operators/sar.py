@@ -185,18 +185,27 @@ def item_based_topk(seeds: DataFrame, sim: DataFrame, k: int = 10, cols: Cols =
     return topk_items(s, k, cols, score=cols.prediction)
 
 
-def predict(train: DataFrame, sim: DataFrame, pairs: DataFrame, cols: Cols = DEFAULT) -> DataFrame:
+BUSY_ITEMS = 4096  # items of a user from which asked pairs start from the item's neighbours
+
+
+def predict(train: DataFrame, sim: DataFrame, pairs: DataFrame, cols: Cols = DEFAULT, busy_items: int = BUSY_ITEMS) -> DataFrame:
     """Scores of the requested (user, item) pairs; an item without a similar one of the user's scores 0.
 
-    Starts from the pairs: each meets the user's own items and looks the
-    similarity of the two up, so nothing but requested scores is ever built. A
-    user without training data stops the job.
+    Each pair meets the user's own items and looks the similarity of the two up. The pairs of a user with more than
+    ``busy_items`` items start from the asked item's neighbours instead and look the user's value up, so the work of a
+    busy user does not grow with the square of the user's rows. A user without training data stops the job.
     """
+    ensure_checkpoint_dir(train.sparkSession)
     aff = affinity(train, cols).select(cols.user, F.col(cols.item).alias("src"), "affinity")
+    both = symmetric(sim).withColumnRenamed("dst", cols.item)
     asked = pairs.select(cols.user, cols.item).distinct()
-    terms = (asked.join(aff, cols.user)
-             .join(symmetric(sim).withColumnRenamed("dst", cols.item), ["src", cols.item])
-             .groupBy(cols.user, cols.item).agg(F.sum(F.col("affinity") * F.col("sim")).alias("_s")))
+    busy = (aff.groupBy(cols.user).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > busy_items)
+            .select(cols.user).checkpoint())
+    met = asked.join(busy, cols.user, "left_anti").join(aff, cols.user).join(both, ["src", cols.item])
+    if not busy.isEmpty():
+        theirs = asked.join(busy, cols.user, "left_semi").join(both, cols.item).join(aff, [cols.user, "src"])
+        met = met.unionByName(theirs)
+    terms = met.groupBy(cols.user, cols.item).agg(F.sum(F.col("affinity") * F.col("sim")).alias("_s"))
     known = train.select(cols.user).distinct().withColumn("_known", F.lit(True))
     checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no training data for user "), F.col(cols.user).cast("string"))).cast("double"))
     return (pairs.join(known, cols.user, "left").join(terms, [cols.user, cols.item], "left")

@@ -64,3 +64,14 @@ def test_predict_refuses_an_unknown_user(spark):
     sim = sar.similarity(sar.cooccurrence(train))
     with pytest.raises(Exception, match="no training data for user 9"):
         sar.predict(train, sim, spark.createDataFrame([(9, 10)], "user_id int, item_id int")).collect()
+
+
+def test_predict_of_busy_users_is_the_same(spark):
+    from recoflow.operators import sar
+    rows = [(1, i, float(i % 5 + 1), i) for i in range(60)] + [(u, u * 7 % 60, 2.0, u) for u in range(2, 30)] + [(u, u * 11 % 60, 3.0, u) for u in range(2, 30)]
+    train = spark.createDataFrame(rows, "user_id int, item_id int, rating double, ts long").dropDuplicates(["user_id", "item_id"])
+    sim = sar.similarity(sar.cooccurrence(train)).checkpoint()
+    pairs = spark.createDataFrame([(u, i) for u in (1, 2, 9, 20) for i in range(0, 60, 7)], "user_id int, item_id int")
+    plain = {(r["user_id"], r["item_id"]): round(r["prediction"], 9) for r in sar.predict(train, sim, pairs).collect()}
+    busy = {(r["user_id"], r["item_id"]): round(r["prediction"], 9) for r in sar.predict(train, sim, pairs, busy_items=10).collect()}
+    assert plain == busy and any(plain.values())
