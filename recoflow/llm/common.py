@@ -32,6 +32,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def crc_mod(column: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))
 

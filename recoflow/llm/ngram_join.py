@@ -222,25 +222,43 @@ def join_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     heads = per_set.groupBy("root").agg(F.min("rep").alias("head"))
     info = per_set.join(heads, "root").select("fp", "copies", F.coalesce("links", F.lit(0)).alias("links"), "head")
     head = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    return (rows.select("doc_id", "th", "fp").join(info, "fp", "left")
+    told = _told(rows.select("doc_id", "th", "fp"), info, reps)
+    return (told
             .select("doc_id", "th", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
                     F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"),
                     F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"),
                     (F.col("head").isNull() | F.col("head").eqNullSafe(head)).alias("first")))
 
 
+HOT_SETS = 1 << 16  # at most so many sets are dealt over several tasks: those with more than 1/HOT_SETS of the rows
+
+
+def _told(rows: DataFrame, info: DataFrame, reps: DataFrame) -> DataFrame:
+    """Every row with what is known of its set; rows without words stay where they are, a crowd of copies is dealt to parts."""
+    n = reps.agg(F.sum("copies")).first()[0] or 0  # one number
+    bound = max(64, n // HOT_SETS)
+    # fewer than HOT_SETS rows by the choice of the bound, or than n / 64 of a small table
+    hot = F.broadcast(reps.where(F.col("copies") > bound).select("fp", F.ceil(F.col("copies") / bound).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.where("fp IS NOT NULL").join(hot, "fp", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), parts).cast("int")).drop("parts")
+    copied = info.join(hot, "fp", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    without = rows.where("fp IS NULL").select("*", *(F.lit(None).cast(t).alias(c) for c, t in info.dtypes if c != "fp"))
+    return dealt.join(copied, ["fp", "part"], "left").drop("part").unionByName(without)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return join_copies(C.documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class, the row of least doc_id (of equal rows, one); all columns as they came."""
-    names = docs.columns
     keep = (join_copies(docs).where("first").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("same"))
             .select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "same"))
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(C.whole_text()) == F.col("k_th")))
-    once = kept.where("same = 1").select(*names)
-    return once.union(kept.where("same > 1").dropDuplicates(["k_id", "k_th"]).select(*names))
+    # the input's columns travel in one struct, so none can clash with those of the decision
+    packed = docs.select(C.packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(C.whole_text()).alias("th"))
+    kept = packed.join(keep, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")))
+    once = kept.where("same = 1").select("row.*")
+    return once.union(kept.where("same > 1").dropDuplicates(["k_id", "k_th"]).select("row.*"))
 
 
 SQL = r"""
