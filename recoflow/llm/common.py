@@ -7,6 +7,7 @@ All helpers work on numpy arrays inside Spark tasks; Spark partitions the rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer held.
+
+    Spark's cleaner removes a shuffle's files once the driver's JVM has collected the plan; a driver with little
+    to do collects rarely, and the executors' disks fill meanwhile. Call it after a checkpoint that ends a large exchange.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8_of(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):
