@@ -93,5 +93,5 @@ def test_packing_stage(steps, plain):  # noqa: F811
 def test_registration():
     import __spark_entry__ as entry
     q = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert [int(n[2:].split("_")[0]) for n in q] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in q] == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
