@@ -6,6 +6,7 @@ from recoflow.operators import sequences as sq
 from recoflow.operators.splits import leave_last_two
 from recoflow.registry import register
 from recoflow.registry.common import T, rnd
+from recoflow.session import written
 from recoflow.sources import fixtures as fx
 from recoflow.sources.fixtures import with_views
 
@@ -53,7 +54,7 @@ def q_last_history(spark, sf):
     from recoflow.cols import DEFAULT
     inst = _inst(spark, sf)
     # leave-last-two tags on the full event order (ts, imp_id, item_id)
-    tagged = leave_last_two(inst, DEFAULT, order=ORDER)
+    tagged = written(leave_last_two(inst, DEFAULT, order=ORDER), "tagged")  # read twice to pick, once for the histories
     h = sq.expand_history(tagged, ORDER, wanted=sq.last_history(tagged, "split", ORDER))
     return (h.select("imp_id", "user_id", "item_id", "split", F.size("item_history").cast("bigint").alias("hist_len")))
 
