@@ -200,7 +200,7 @@ def q_write_train_impressions(spark, sf):
      __import__("recoflow.registry.q_sequences", fromlist=["HIST"]).HIST)))
 def q_write_sequences(spark, sf):
     from recoflow.registry.q_sequences import _hist
-    path = wr.write_lines(wr.sequence_lines(_hist(spark, sf)), wr.scratch_path(spark, "seq"))
+    path = wr.write_lines(wr.sequence_lines(_hist(spark, sf)), wr.scratch_path(spark, "seq"), "gzip")  # whole histories repeat themselves
     return rd.read_sequences(spark, path).select("label", "user_id", "item_id", "cate", "ts", "item_history")
 
 
@@ -233,7 +233,7 @@ def q_read_sequences(spark, sf):
     users = index_ids(r.where("user_id % 8 <> 0"), "user_id", "idx", start=1)
     items = index_ids(r.where("item_id % 8 <> 3"), "item_id", "idx", start=1)
     cates = index_ids(fx.items(t).where("category < 'STANDARD'"), "category", "idx", start=1)
-    path = wr.write_lines(wr.sequence_lines(_hist(spark, sf)), wr.scratch_path(spark, "seq"))
+    path = wr.write_lines(wr.sequence_lines(_hist(spark, sf)), wr.scratch_path(spark, "seq"), "gzip")  # whole histories repeat themselves
     return rd.read_sequences(spark, path, users, items, cates).drop("item_history", "cate_history", "time_history")
 
 

@@ -8,9 +8,15 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from recoflow.session import written
 
 # Separators and header flags of the supported rating formats.
 RATING_FORMATS = {
@@ -139,28 +145,62 @@ def read_sequences(spark: SparkSession, path: str, users: DataFrame | None = Non
              F.when(F.get(f, F.lit(7)) != "", F.transform(F.split(F.get(f, F.lit(7)), ","), lambda x: x.cast("long"))).alias("time_history")]
     if not given:
         return lines.select(*typed)
-    # equal lines have equal words: each is looked up once, under a hash of its content
-    distinct = lines.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).select(F.md5("value").alias("_line"), "_n", *typed)
+    # lines stay in blocks of consecutive ones; a block asks for each of its words once, whatever their places
     fields = [(name, kind, column) for name, kind, column in (
-        ("user_idx", "user", F.array("user_id")), ("item_idx", "item", F.array("item_id")), ("cate_idx", "cate", F.array("cate")),
-        ("item_history_idx", "item", F.col("item_history")), ("cate_history_idx", "cate", F.col("cate_history"))) if kind in given]
-
-    def placed(name, kind, column):
-        return F.transform(column, lambda w, i: F.struct(F.lit(name).alias("field"), i.alias("at"), F.lit(kind).alias("kind"), w.alias("word")))
-    places = [placed(*f) for f in fields]
-    words = distinct.select("_line", F.explode(F.flatten(F.array(*places))).alias("_p")).select("_line", "_p.*")
+        ("user_idx", "user", "user_id"), ("item_idx", "item", "item_id"), ("cate_idx", "cate", "cate"),
+        ("item_history_idx", "item", "item_history"), ("cate_history_idx", "cate", "cate_history")) if kind in given]
+    columns = ["label", "user_id", "item_id", "cate", "ts", "item_history", "cate_history", "time_history"]
+    whole = [column for name, _, column in fields if name.endswith("history_idx")]  # a line without that field is left out
+    block = F.shiftright(F.monotonically_increasing_id(), LINES_A_BLOCK.bit_length() - 1).alias("_block")
+    blocks = written(lines.select(block, *typed), "lines").where(" AND ".join([f"{c} IS NOT NULL" for c in whole] or ["true"]))
+
+    def named(kind, column):
+        words = F.col(column) if column in whole else F.array(column)
+        return F.transform(F.array_distinct(words), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    words = blocks.select("_block", F.explode(F.flatten(F.array(*(named(kind, column) for _, kind, column in fields)))).alias("_p"))
+    words = written(words.select("_block", "_p.*").where("word IS NOT NULL").distinct(), "words")
     listed = None
     for kind, v in given.items():
         one = v.select(F.lit(kind).alias("kind"), F.col(v.columns[0]).cast("string").alias("word"), F.col(v.columns[1]).cast("bigint").alias("idx"))
         listed = one if listed is None else listed.unionByName(one)
-    found = (vocabulary_lookup(words, listed, ["kind", "word"], "idx")
-             .groupBy("_line").agg(F.sort_array(F.collect_list(F.struct("field", "at", F.coalesce("idx", F.lit(0)).alias("idx")))).alias("_f")))
-
-    def indexes(name):
-        return F.transform(F.filter("_f", lambda x: x["field"] == name), lambda x: x["idx"]).alias(name)
-    added = [indexes(name) if name.endswith("history_idx") else F.get(indexes(name), F.lit(0)).alias(name) for name, _, _ in fields]
-    out = distinct.join(found, "_line").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    return out.select("label", "user_id", "item_id", "cate", "ts", "item_history", "cate_history", "time_history", *added)
+    found = vocabulary_lookup(words, listed.withColumn("idx", F.coalesce("idx", F.lit(0))), ["kind", "word"], "idx").where("idx IS NOT NULL")
+    added = [T.StructField(name, T.ArrayType(T.LongType()) if name.endswith("history_idx") else T.LongType()) for name, _, _ in fields]
+    out = T.StructType([*(blocks.schema[c] for c in columns), *added])
+    return (blocks.groupBy("_block").cogroup(found.select("_block", "kind", "word", "idx").groupBy("_block"))
+            .applyInArrow(_placed(fields, columns, to_arrow_schema(out)), out))
+
+
+LINES_A_BLOCK = 1 << 12
+
+
+def _placed(fields: list[tuple[str, str, str]], columns: list[str], out: pa.Schema):
+    """A block's lines and the indexes of its words -> the lines with these; a word that is listed twice has both, in order."""
+    def run(lines: pa.Table, told: pa.Table) -> pa.Table:
+        if not lines.num_rows:
+            return out.empty_table()
+        told = told.sort_by([("word", "ascending"), ("idx", "ascending")])
+        of = {}
+        for kind in {kind for _, kind, _ in fields}:
+            mine = told.filter(pc.equal(told.column("kind"), kind))
+            coded = mine.column("word").combine_chunks().dictionary_encode()
+            many = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+            of[kind] = coded.dictionary, np.append(many, 1), np.append(np.cumsum(many) - many, mine.num_rows), np.append(np.asarray(mine.column("idx")), 0)
+        added = []
+        for name, kind, column in fields:
+            words, many, first, idx = of[kind]
+            asked = lines.column(column).combine_chunks()
+            flat = asked.flatten() if name.endswith("history_idx") else asked
+            at = np.asarray(pc.fill_null(pc.index_in(flat, value_set=words.cast(flat.type), skip_nulls=True), len(words))).astype(np.int64)
+            if not name.endswith("history_idx"):
+                added.append(pa.array(idx[first[at]]))
+                continue
+            n = many[at]
+            places = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(asked)))])
+            added.append(pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(idx[places])))
+        return pa.table([*(lines.column(c) for c in columns), *added], names=out.names).cast(out)
+    return run
 
 
 def vocabulary_lookup(words: DataFrame, vocabulary: DataFrame, on: list[str], value: str, heavy: int = 1024) -> DataFrame:

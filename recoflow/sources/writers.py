@@ -21,8 +21,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
-def write_lines(lines: DataFrame, path: str) -> str:
-    lines.select(F.col(lines.columns[0]).alias("value")).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, compression: str = "none") -> str:
+    lines.select(F.col(lines.columns[0]).alias("value")).write.mode("overwrite").text(path, compression=compression)
     return path
 
 
