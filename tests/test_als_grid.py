@@ -31,3 +31,13 @@ def test_k_best_unseen_items_of_every_user(spark, monkeypatch, sizes):
         want = sorted(((float(s[a, b]), b) for b in range(n_items) if (a, b) not in seen), key=lambda x: (-x[0], x[1]))[:k]
         assert sorted(got[a], key=lambda x: (-x[0], x[1])) == want
     assert len(got[0]) == 3
+
+
+def test_few_parts_and_few_exchanges_at_a_time(spark, monkeypatch):
+    """Every part of the items returns k rows a user: with 28 parts of 7.2 million items these outweighed the rest."""
+    assert -(-7_200_000 // fa.GRID_ITEMS) <= 8
+    asked = {}
+    monkeypatch.setattr(fa.ALS, "fit", lambda self, data: asked.setdefault("interval", self.getCheckpointInterval()))
+    train = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0)], "user_id long, item_id long, rating double")
+    fa.als_fit(train)
+    assert 0 < asked["interval"] <= 2
